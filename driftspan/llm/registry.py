@@ -13,6 +13,11 @@ MODULES = [
     ("token_count", "op8_token_counts"),
     ("packing", "op6_best_fit_packing"),
     ("decontam", "op4_decontamination"),
+    ("chat", "op7_chat_format"),
+    ("langid", "op9_language_id"),
+    ("license_scan", "op10_license_scan"),
+    ("toxicity", "op5_toxicity"),
+    ("near_dedup", "op2_minhash_near_dedup"),
 ]
 
 
