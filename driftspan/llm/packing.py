@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,7 +37,7 @@ TASK_PIECES = 50_000
 #: Bins that a partition above its bound reopens at most, besides as many as it is above the bound.
 REOPENED = 48
 #: Distinct words whose ids a process remembers.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 REMEMBERED_BYTES = 64
 _CORE = re.compile(r"([^\W\d_]+)([.,!?;:]*)\Z")
 
@@ -56,7 +58,10 @@ class WordIds:
         self.cores: dict[str, bytes] = {}
 
     def _encode(self, s: str) -> bytes:
-        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = array("I", self.tokenizer.encode(s, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _core(self, s: str) -> bytes:
         found = self.cores.get(s)
@@ -72,24 +77,23 @@ class WordIds:
         m = _CORE.match(s) if len(w) <= REMEMBERED_BYTES else None
         if not m:
             return self._encode(s)
-        core = m[1].lower() if m[1].isascii() else m[1]
-        return self._core(core) + (self._core(m[2]) if m[2] else b"")
+        core, marks = m.groups()
+        if core.isascii():
+            core = core.lower()
+        elif not core.lower().isalpha():  # the lower case of some letters ends in a mark, which is no letter
+            return self._encode(s)
+        return self._core(core) + self._core(marks) if marks else self._core(core)
 
     def __call__(self, text: bytes) -> bytes:
-        words, known = text.split(), self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        out = []
-        for w in words:
-            ids = known.get(w)
+        out, get = [], self.words.get
+        for w in text.split():
+            ids = get(w)
             if ids is None:
                 ids = self._word(w)
                 if len(w) <= REMEMBERED_BYTES:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[w] = ids
+                    if len(self.words) >= REMEMBERED:
+                        self.words.clear()
+                    self.words[w] = ids
             out.append(ids)
         return b"".join(out)
 

@@ -18,6 +18,7 @@ MODULES = [
     ("license_scan", "op10_license_scan"),
     ("toxicity", "op5_toxicity"),
     ("near_dedup", "op2_minhash_near_dedup"),
+    ("substring_dedup", "op1_substring_dedup"),
 ]
 
 
