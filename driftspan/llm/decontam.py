@@ -100,29 +100,39 @@ def original_spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(starts[a]), int(ends[b - 1])) for a, b in zip(np.flatnonzero(runs == 1), np.flatnonzero(runs == -1), strict=True)]
 
 
+class _Matcher:
+    """What the tasks need: the blocks of windows."""
+
+    def __init__(self, benchmark: DataFrame, window: int):
+        context = benchmark.sparkSession.sparkContext
+        self.blocks = [context.broadcast(b) for b in window_blocks(benchmark, window)]
+        self.run = uuid.uuid4().hex
+
+    def __call__(self, texts: list[bytes]) -> tuple[list[int], dict[int, np.ndarray], dict[int, set[str]]]:
+        """Words of each text; hit words and items of those texts that hold a window."""
+        n_words, hits, items = [0] * len(texts), {}, {}
+        for k, block in enumerate(self.blocks or [None]):
+            automaton = _automaton(block, f"{self.run}-{k}") if block else None
+            for i, t in enumerate(texts):
+                words = t.translate(NORMAL).split()
+                n_words[i] = len(words)
+                for a, b, found in scan(words, automaton) if automaton and words else ():
+                    hits.setdefault(i, np.zeros(len(words), bool))[a:b] = True
+                    items.setdefault(i, set()).update(found)
+        return n_words, hits, items
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_words, n_hit, items, spans, contaminated) of every row; spans are byte spans of the original text."""
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in window_blocks(benchmark, window)]
-    run = uuid.uuid4().hex
+    matcher = _Matcher(benchmark, window)
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "n_words", "n_hit", "items", "spans"]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(1).cast(pa.binary())]
-            hits: dict[int, np.ndarray] = {}
-            items: dict[int, set[str]] = {}
-            n_words = [0] * len(texts)
-            for k, block in enumerate(blocks or [None]):
-                automaton = _automaton(block, f"{run}-{k}") if block else None
-                for i, t in enumerate(texts):
-                    words = t.translate(NORMAL).split()
-                    n_words[i] = len(words)
-                    for a, b, found in scan(words, automaton) if automaton and words else ():
-                        hits.setdefault(i, np.zeros(len(words), bool))[a:b] = True
-                        items.setdefault(i, set()).update(found)
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            n_words, hits, items = matcher(texts)
             n_hit = [int(hits[i].sum()) if i in hits else 0 for i in range(len(texts))]
             spans = [[{"start": a, "end": b} for a, b in original_spans(t, hits[i])] if i in hits else [] for i, t in enumerate(texts)]
             found = [sorted(items.get(i, ())) for i in range(len(texts))]
@@ -133,6 +143,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).withColumnRenamed("id", id_col)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that are not contaminated. Nothing is shuffled."""
+    matcher, place = _Matcher(benchmark, window), docs.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words, hits, _ = matcher([t or b"" for t in batch.column(place).cast(pa.binary()).to_pylist()])
+            keep = [not (i in hits and SHARE * int(hits[i].sum()) >= n) for i, n in enumerate(n_words)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns over all of documents and benchmark."""
     found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

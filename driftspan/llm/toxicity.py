@@ -1,9 +1,11 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling.
 
-A word enters the network as its hashed word embedding beside the mean of its hashed byte
-trigrams' embeddings. Two gated recurrent layers read a window of words in either direction,
+A word enters the network as its hashed word embedding beside the scaled sum of its hashed byte
+n-grams' embeddings (up to six bytes); the first dimension of each starts as the evidence of the training labels
+for the word or n-gram (its log odds in standard errors, less a threshold). Two gated recurrent layers read a window of words in either direction,
 attention pools their states, and a logistic unit scores the window. All overlapping windows
-of a text are scored; the text's score is its highest window's, calibrated on training rows.
+of a text are scored; a logistic function of their highest, mean and three highest logits, fitted on
+training rows, is the text's score.
 
 Training is plain numpy on the driver, on a bounded sample of labelled rows (``sample_rows`` a
 class, at most ``sample_windows`` random windows of each). A window of a toxic text need not be
@@ -33,9 +35,16 @@ from driftspan.llm.common import FOLD, byte_class, read_table, text_slices, word
 WINDOW, STRIDE = 48, 40
 #: Labelled rows of a class that training takes, about, and windows of each.
 SAMPLE_ROWS = 3000
-SAMPLE_WINDOWS = 6
-WORD_BITS, CHAR_BITS = 15, 13
+SAMPLE_WINDOWS = 5
+WORD_BITS, CHAR_BITS = 16, 16
+#: Bytes of an n-gram; it ends where the word begins.
+GRAM = 6
+SPREAD = np.float32(3)
 EMBED, HIDDEN, ATTEND = 8, 12, 8
+#: Standard errors of a label's evidence for a word that are ignored.
+EVIDENCE = 2.2
+#: Learning rates: of embeddings as a share of the rest's.
+RATE, EMBED_RATE = 0.01, 0.1
 SEED = 7
 #: ASCII letters and digits and all bytes of non-ASCII characters.
 WORD_BYTE = byte_class(bytes(b for b in range(256) if b >= 0x80 or chr(b).isalnum()))
@@ -44,17 +53,19 @@ _CLIP = np.float32(30)
 
 
 def word_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word buckets, byte trigram buckets of all bytes, word starts and ends, and words' rows."""
+    """Word buckets, byte n-gram buckets of all bytes, word starts and ends, and words' rows."""
     starts, ends, rows = word_spans(data, off, WORD_BYTE)
     folded = _FOLD[data]
     words = (word_hashes(data, starts, ends, _FOLD) >> np.uint64(64 - WORD_BITS)).astype(np.int32)
     inside = np.where(WORD_BYTE[data], folded, 0).astype(np.uint32)
+    h, step = np.zeros(len(data), np.uint32), inside
     edge = off[(off > 0) & (off < len(data))]
-    before = np.concatenate([[0], inside[:-1]]).astype(np.uint32)
-    after = np.concatenate([inside[1:], [0]]).astype(np.uint32)
-    before[edge] = 0  # a trigram does not reach into another row
-    after[edge - 1] = 0
-    h = (before * np.uint32(0x9E3779B1)) ^ (inside * np.uint32(0x85EBCA77)) ^ (after * np.uint32(0xC2B2AE3D))
+    alive = inside > 0
+    for j in range(GRAM):  # the byte and those before it, up to the word's start
+        h = np.where(alive, (h ^ step) * np.uint32(0x9E3779B1) + np.uint32(0x85EBCA77), h)
+        step = np.concatenate([[0], step[:-1]]).astype(np.uint32)
+        alive = np.concatenate([[False], alive[:-1]]) & alive & (step > 0)
+        alive[edge] = False  # an n-gram does not reach into another row
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x27D4EB2F)
     return words, (h >> np.uint32(32 - CHAR_BITS)).astype(np.int32), starts, ends, rows
@@ -66,14 +77,14 @@ class Network:
     def __init__(self, seed: int = SEED):
         r = np.random.default_rng(seed)
         n = lambda *s, scale=0.1: r.normal(0, scale, s).astype(np.float32)
-        self.p = {"word": n(1 << WORD_BITS, EMBED), "char": n(1 << CHAR_BITS, EMBED, scale=0.3), "wa": n(2 * HIDDEN, ATTEND, scale=0.3), "ba": np.zeros(ATTEND, np.float32), "va": n(ATTEND, scale=0.3), "wo": n(2 * HIDDEN, scale=0.3), "bo": np.full(1, -2, np.float32)}
+        self.p = {"word": n(1 << WORD_BITS, EMBED), "char": n(1 << CHAR_BITS, EMBED), "wa": n(2 * HIDDEN, ATTEND, scale=0.3), "ba": np.zeros(ATTEND, np.float32), "va": n(ATTEND, scale=0.3), "wo": n(2 * HIDDEN, scale=0.3), "bo": np.full(1, -2, np.float32)}
         for d in "fb":
             self.p |= {f"w{d}": n(2 * EMBED, 3 * HIDDEN, scale=0.3), f"u{d}": n(HIDDEN, 3 * HIDDEN, scale=0.3), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
-        self.calibration = (1.0, 0.0)
+        self.calibration = np.array([1.0, 0.0, 0.0, 0.0, 0.0])
         self.constant: float | None = None
 
     def inputs(self, words: np.ndarray, grams: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """[word, 2 * EMBED]: the word's embedding, and the mean of its trigrams'."""
+        """[word, 2 * EMBED]: the word's embedding, and the sum of its byte n-grams', scaled."""
         x = np.empty((len(words), 2 * EMBED), np.float32)
         x[:, :EMBED] = self.p["word"][words]
         cuts = np.stack([starts, ends], 1).ravel()
@@ -82,7 +93,7 @@ class Network:
         for j in range(EMBED):
             column = np.ascontiguousarray(self.p["char"][:, j])
             x[:, EMBED + j] = np.add.reduceat(column[grams], cuts)[::2]
-        x[:, EMBED:] /= (ends - starts)[:, None].astype(np.float32)
+        x[:, EMBED:] /= SPREAD
         return x
 
     def inputs_of(self, w: _Windows, own: np.ndarray) -> np.ndarray:
@@ -92,7 +103,7 @@ class Network:
         x = np.empty((len(own), 2 * EMBED), np.float32)
         x[:, :EMBED] = self.p["word"][w.words[own]]
         cuts = np.concatenate([[0], np.cumsum(size)[:-1]])
-        x[:, EMBED:] = np.add.reduceat(self.p["char"][w.grams[flat]], cuts, axis=0) / size[:, None]
+        x[:, EMBED:] = np.add.reduceat(self.p["char"][w.grams[flat]], cuts, axis=0) / SPREAD
         self.last = (w.words[own], w.grams[flat], np.repeat(np.arange(len(own)), size), size)
         return x
 
@@ -182,7 +193,7 @@ class _Adam:
             m, v = self.m.setdefault(k, np.zeros_like(p[k])), self.v.setdefault(k, np.zeros_like(p[k]))
             m[rows] += 0.1 * (g - m[rows])
             v[rows] += 0.001 * (g * g - v[rows])
-            p[k][rows] -= scale * m[rows] / (np.sqrt(v[rows]) + 1e-8)
+            p[k][rows] -= scale * (EMBED_RATE if k in ("word", "char") else 1) * m[rows] / (np.sqrt(v[rows]) + 1e-8)
 
 
 class _Windows:
@@ -192,6 +203,7 @@ class _Windows:
         off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         data = np.frombuffer(b"".join(texts), np.uint8)
         self.words, self.grams, self.starts, self.ends, rows = word_features(data, off)
+        self.of = rows
         count = np.bincount(rows, minlength=len(texts))
         self.first = np.concatenate([[0], np.cumsum(count)[:-1]])
         self.count = np.minimum(count, WINDOW)
@@ -209,13 +221,24 @@ class _Windows:
 def _embedding_gradients(net: Network, d_x: np.ndarray) -> dict:
     words, grams, of, size = net.last
     out = {}
-    for name, at, g in (("word", words, d_x[:, :EMBED]), ("char", grams, (d_x[:, EMBED:] / size[:, None])[of])):
+    for name, at, g in (("word", words, d_x[:, :EMBED]), ("char", grams, (d_x[:, EMBED:] / SPREAD)[of])):
         rows, place = np.unique(at, return_inverse=True)
         out[name] = (rows, np.stack([np.bincount(place, weights=g[:, j], minlength=len(rows)) for j in range(EMBED)], 1).astype(np.float32))
     return out
 
 
-def train(texts: list[bytes], row: np.ndarray, toxic: np.ndarray, seed: int = SEED, epochs: int = 6, batch: int = 256) -> Network:
+def evidence(row: np.ndarray, bucket: np.ndarray, toxic: np.ndarray, bits: int) -> np.ndarray:
+    """Of each bucket, how many standard errors beyond EVIDENCE its log odds of toxic texts lie from even, scaled."""
+    pairs = np.unique(row.astype(np.int64) << bits | bucket)
+    of, b = toxic[pairs >> bits] > 0, pairs & ((1 << bits) - 1)
+    yes, no = np.bincount(b[of], minlength=1 << bits) + 0.5, np.bincount(b[~of], minlength=1 << bits) + 0.5
+    n_yes, n_no = (toxic > 0).sum() + 1, (toxic <= 0).sum() + 1
+    z = (np.log(yes / n_yes) - np.log(no / n_no)) / np.sqrt(1 / yes + 1 / no)
+    z[(yes < 1) & (no < 1)] = 0
+    return (np.sign(z) * np.maximum(np.abs(z) - EVIDENCE, 0) / 2).astype(np.float32).clip(-3, 3)
+
+
+def train(texts: list[bytes], row: np.ndarray, toxic: np.ndarray, seed: int = SEED, epochs: int = 5, batch: int = 256) -> Network:
     """texts: windows; row: the text each is of; toxic: each text's label."""
     net = Network(seed)
     if not len(texts) or toxic.min() == toxic.max():
@@ -223,7 +246,12 @@ def train(texts: list[bytes], row: np.ndarray, toxic: np.ndarray, seed: int = SE
         return net
     w = _Windows(texts)
     usable = np.flatnonzero(w.count > 0)
-    row, r, adam = np.asarray(row), np.random.default_rng(seed), _Adam(0.01)
+    row, r, adam = np.asarray(row), np.random.default_rng(seed), _Adam(RATE)
+    of_word = np.repeat(row, np.bincount(w.of, minlength=len(texts)))
+    net.p["word"][:, 0] = evidence(of_word, w.words, toxic, WORD_BITS)
+    size = w.ends - w.starts
+    grams = w.grams[np.repeat(w.starts - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
+    net.p["char"][:, 0] = evidence(np.repeat(of_word, size), grams, toxic, CHAR_BITS)
     y = toxic[row].astype(np.float32)
     weight = np.ones(len(texts), np.float32)
     for epoch in range(epochs):
@@ -245,10 +273,8 @@ def train(texts: list[bytes], row: np.ndarray, toxic: np.ndarray, seed: int = SE
             adam.step(net.p, {k: (slice(None), g * np.float32(clip)) for k, g in grad.items()} | _embedding_gradients(net, d_x * np.float32(clip)))
         adam.rate *= 0.75
     logit = _score_windows(net, w, usable)
-    top = np.full(len(toxic), -np.inf)
-    np.maximum.at(top, row[usable], logit[usable])
-    seen = np.isfinite(top)
-    net.calibration = _platt(top[seen], toxic[seen])
+    seen, features = text_features(row[usable], logit[usable], len(toxic))
+    net.calibration = _logistic(features[seen], toxic[seen] > 0)
     return net
 
 
@@ -260,21 +286,31 @@ def _score_windows(net: Network, w: _Windows, which: np.ndarray) -> np.ndarray:
     return out
 
 
-def _platt(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of logits by logistic regression with the usual smoothed targets."""
-    pos, neg = int((y > 0).sum()), int((y <= 0).sum())
-    target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, 0.0
-    for _ in range(100):
-        p = _sigmoid(a * s + b)
-        g = np.array([((p - target) * s).sum(), (p - target).sum()])
-        v = p * (1 - p)
-        hess = np.array([[(v * s * s).sum() + 1e-3, (v * s).sum()], [(v * s).sum(), v.sum() + 1e-3]])
-        step = np.linalg.solve(hess, g)
-        a, b = a - float(np.clip(step[0], -1, 1)), b - float(np.clip(step[1], -1, 1))
-        if abs(step).max() < 1e-6:
+def text_features(of: np.ndarray, logit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of n texts have windows; of each its highest, mean and mean of the three highest logits, and a one; of is each window's text."""
+    order = np.lexsort((-logit, of))
+    of, logit = of[order], np.clip(logit[order], -20, 20).astype(np.float64)
+    count = np.bincount(of, minlength=n)
+    seen = count > 0
+    first = np.cumsum(count) - count
+    place = np.arange(len(of)) - first[of]
+    total = lambda at: np.bincount(of[at], weights=logit[at], minlength=n)
+    some = np.maximum(count, 1)
+    top = total(place < 1)
+    return seen, np.stack([top, total(place >= 0) / some, total(place < 3) / np.minimum(some, 3), np.log(some), np.ones(n)], 1)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Coefficients by Newton's method."""
+    c = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = _sigmoid(x @ c)
+        v = np.maximum(p * (1 - p), 1e-6)
+        step = np.linalg.solve((x * v[:, None]).T @ x + ridge * np.eye(len(c)), x.T @ (p - y) + ridge * c)
+        c = c - np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-7:
             break
-    return max(a, 1e-3), b
+    return c
 
 
 def score_texts(net: Network, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -295,16 +331,14 @@ def score_texts(net: Network, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         begin = first[of] + k * STRIDE
         end = (first + count)[of]
         x = net.inputs(words, grams, starts, ends)
-        top = np.full(hi - lo, -np.inf)
+        logits = np.empty(len(of), np.float32)
         for i in range(0, len(of), 2048):
             at = begin[i : i + 2048, None] + np.arange(WINDOW)
             part = slice(int(begin[i]), int(min(at[-1, -1] + 1, len(words))))
             at = np.where(at < end[i : i + 2048, None], at - part.start, -1)
-            logit, _ = net.forward(x[part], at)
-            np.maximum.at(top, of[i : i + 2048], logit)
-        a, b = net.calibration
-        seen = n_windows > 0
-        score[lo:hi][seen] = _sigmoid(a * top[seen] + b)
+            logits[i : i + 2048] = net.forward(x[part], at)[0]
+        seen, features = text_features(of, logits, hi - lo)
+        score[lo:hi][seen] = _sigmoid(features[seen] @ net.calibration)
         windows[lo:hi] = n_windows
     return score, windows
 
@@ -368,6 +402,18 @@ def toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, f"id {kind}, score double, predicted int, n_windows long").withColumnRenamed("id", id_col)
 
 
+def drop_toxic(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that are scored under 0.5. Nothing is shuffled."""
+    net.last = None
+    shared, place = docs.sparkSession.sparkContext.broadcast(net), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(score_texts(shared.value, batch.column(place))[0] < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit_contract(spark: SparkSession, sf_dir: str) -> Network:
     """The network learnt from the labelled rows of documents that are not held out."""
     return fit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
