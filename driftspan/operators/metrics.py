@@ -73,12 +73,12 @@ def auroc(points: DataFrame) -> DataFrame:
     """One row (value) from roc_points; null if a class is missing."""
     both = (F.max("all_p") > 0) & (F.max("all_n") > 0)
     area = F.sum(F.col("n") * ((F.col("tp") - F.col("p")) + F.col("p") / 2.0))
-    return points.agg(F.when(both, area / (F.max("all_p").cast("double") * F.max("all_n"))).alias("value"))
+    return points.agg(F.when(both, F.try_divide(area, F.max("all_p").cast("double") * F.max("all_n"))).alias("value"))
 
 
 def fpr_at_tpr(points: DataFrame, level: float = 0.95) -> DataFrame:
     """One row (value): the false-positive rate of the first kept point whose true-positive rate reaches level, else of the last."""
-    tpr, fpr = F.col("tp") / F.col("all_p"), F.col("fp") / F.col("all_n")
+    tpr, fpr = F.try_divide("tp", "all_p"), F.try_divide("fp", "all_n")
     reached = F.min(F.when(F.col("kept") & (tpr >= level), fpr))
     both = (F.max("all_p") > 0) & (F.max("all_n") > 0)
     return points.agg(F.when(both, F.coalesce(reached, F.max(fpr))).alias("value"))

@@ -103,11 +103,11 @@ def _impute(value: str) -> str:
 
 def _prep_transform() -> str:
     hot = {s: f"CAST(coalesce(status, fill) = '{s}' AS INTEGER)" for s in "FOP"}
-    stats = ", ".join(f"avg({e}) AS a{s}, stddev_pop({e}) AS d{s}" for s, e in hot.items())
-    cols = ", ".join(f"round(({e} - a{s}) / CASE WHEN d{s} = 0 THEN 1 ELSE d{s} END, 6) AS status_{s}" for s, e in hot.items())
+    stats = ", ".join(f"avg({e}) AS mean_{s}, stddev_pop({e}) AS sd_{s}" for s, e in hot.items())
+    cols = ", ".join(f"round(({e} - mean_{s}) / CASE WHEN sd_{s} = 0 THEN 1 ELSE sd_{s} END, 6) + 0e0 AS status_{s}" for s, e in hot.items())
     return f"""WITH {_GAPS}, even AS (SELECT * FROM g WHERE o_orderkey % 2 = 0), {_MODE.format('even')}, mm AS (SELECT median(price) AS mid FROM even),
     st AS (SELECT avg(coalesce(price, mid)) AS ap, stddev_pop(coalesce(price, mid)) AS dp, {stats} FROM even, md, mm)
-    SELECT o_orderkey, round((coalesce(price, mid) - ap) / dp, 6) AS price, {cols} FROM g, md, mm, st WHERE o_orderkey % 2 = 1"""
+    SELECT o_orderkey, round((coalesce(price, mid) - ap) / dp, 6) + 0e0 AS price, {cols} FROM g, md, mm, st WHERE o_orderkey % 2 = 1"""
 
 
 _GUESS = "g AS (SELECT o_orderstatus AS y, CASE WHEN o_totalprice > 200000 THEN 'F' WHEN o_totalprice > 60000 THEN 'O' ELSE 'P' END AS p, o_custkey % 3 = 0 AS is_ood FROM orders)"
@@ -211,9 +211,9 @@ ORACLES = {
     "impute_mean": _impute("avg(price)"),
     "impute_median": _impute("median(price)"),
     "impute_most_frequent": f"WITH {_GAPS}, {_MODE.format('g')} SELECT o_orderkey, coalesce(status, fill) AS status FROM g, md",
-    "impute_constant": _impute("0e0"),
+    "impute_constant": _impute("max(0e0 * price)"),
     "onehot": f"WITH {_GAPS} SELECT o_orderkey, {', '.join(f'''CAST(coalesce(status = '{s}', false) AS DOUBLE) AS status_{s}''' for s in 'FOP')}, CAST(status IS NULL AS DOUBLE) AS status_None FROM g",
-    "scale_standard": f"WITH {_GAPS}, f AS (SELECT o_orderkey, coalesce(price, avg(price) OVER ()) AS price FROM g) SELECT o_orderkey, round((price - avg(price) OVER ()) / stddev_pop(price) OVER (), 6) AS price FROM f",
+    "scale_standard": f"WITH {_GAPS}, f AS (SELECT o_orderkey, coalesce(price, avg(price) OVER ()) AS price FROM g) SELECT o_orderkey, round((price - avg(price) OVER ()) / stddev_pop(price) OVER (), 6) + 0e0 AS price FROM f",
     "scale_minmax": f"WITH {_GAPS}, f AS (SELECT o_orderkey, coalesce(price, avg(price) OVER ()) AS price FROM g) SELECT o_orderkey, round((price - min(price) OVER ()) / (max(price) OVER () - min(price) OVER ()), 6) AS price FROM f",
     "prep_transform": _prep_transform(),
     "accuracy_by_scope": f"WITH {_GUESS} SELECT CASE WHEN is_ood THEN 'ood' ELSE 'id' END AS scope, 'accuracy' AS metric, round(avg(CAST(y = p AS DOUBLE)), 6) AS value FROM g GROUP BY is_ood",

@@ -39,11 +39,14 @@ class ShiftPipeline:
     metrics: MetricsEvaluator
 
     def run(self, df: DataFrame, validate: bool = True) -> PipelineResult:
-        """Actions: partition sizes, strata sizes, the fit; predictions and metrics stay lazy."""
+        """Actions: partition sizes, strata sizes, the fit; predictions and metrics stay lazy.
+
+        The split is persisted (memory, then disk), for the fit, the predictions and each metric read it.
+        """
         assigned = self.strategy.assign(df)
         if validate:
             self.strategy.validate(assigned)
-        split = self.splitter.split(assigned)
+        split = self.splitter.split(assigned).persist()
         fitted = self.model.fit(split.where(F.col("role") == "train"))
         predictions = fitted.transform(split.where(F.col("role") == "test"))
         score = SCORE if SCORE in predictions.columns else None

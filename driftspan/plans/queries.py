@@ -155,7 +155,8 @@ def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _prep(features: list[str], **given: object):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = Preprocessor(**given).fit_transform(_gaps(spark, sf_dir), features)[1]
+        rows = _gaps(spark, sf_dir).select("o_orderkey", *features)
+        out = Preprocessor(**given).fit_transform(rows, features)[1]
         doubles = [c for c, kind in out.dtypes if kind == "double"]
         return out.select("o_orderkey", *(F.round(c, 6).alias(c) if c in doubles else F.col(c) for c in out.columns if c != "o_orderkey"))
 
