@@ -45,6 +45,8 @@ EMBED, HIDDEN, ATTEND = 8, 12, 8
 EVIDENCE = 2.2
 #: Learning rates: of embeddings as a share of the rest's.
 RATE, EMBED_RATE = 0.01, 0.1
+#: Passes over the sample and steps, at least.
+EPOCHS, STEPS = 5, 250
 SEED = 7
 #: ASCII letters and digits and all bytes of non-ASCII characters.
 WORD_BYTE = byte_class(bytes(b for b in range(256) if b >= 0x80 or chr(b).isalnum()))
@@ -238,8 +240,8 @@ def evidence(row: np.ndarray, bucket: np.ndarray, toxic: np.ndarray, bits: int)
     return (np.sign(z) * np.maximum(np.abs(z) - EVIDENCE, 0) / 2).astype(np.float32).clip(-3, 3)
 
 
-def train(texts: list[bytes], row: np.ndarray, toxic: np.ndarray, seed: int = SEED, epochs: int = 5, batch: int = 256) -> Network:
-    """texts: windows; row: the text each is of; toxic: each text's label."""
+def train(texts: list[bytes], row: np.ndarray, toxic: np.ndarray, seed: int = SEED, batch: int = 256) -> Network:
+    """texts: windows; row: the text each is of; toxic: each text's label. A small sample is passed over more often."""
     net = Network(seed)
     if not len(texts) or toxic.min() == toxic.max():
         net.constant = float(toxic.mean()) if len(toxic) else 0.0
@@ -254,8 +256,9 @@ def train(texts: list[bytes], row: np.ndarray, toxic: np.ndarray, seed: int = SE
     net.p["char"][:, 0] = evidence(np.repeat(of_word, size), grams, toxic, CHAR_BITS)
     y = toxic[row].astype(np.float32)
     weight = np.ones(len(texts), np.float32)
+    epochs = max(EPOCHS, -(-STEPS * batch // max(1, len(usable))))
     for epoch in range(epochs):
-        if epoch >= 2:
+        if epoch >= 0.4 * epochs:
             logit = _score_windows(net, w, usable)
             top = np.full(len(toxic), -np.inf)
             np.maximum.at(top, row[usable], logit[usable])
@@ -271,7 +274,7 @@ def train(texts: list[bytes], row: np.ndarray, toxic: np.ndarray, seed: int = SE
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             clip = min(1.0, 5.0 / (norm + 1e-9))
             adam.step(net.p, {k: (slice(None), g * np.float32(clip)) for k, g in grad.items()} | _embedding_gradients(net, d_x * np.float32(clip)))
-        adam.rate *= 0.75
+        adam.rate *= 0.25 ** (1 / epochs)
     logit = _score_windows(net, w, usable)
     seen, features = text_features(row[usable], logit[usable], len(toxic))
     net.calibration = _logistic(features[seen], toxic[seen] > 0)
