@@ -64,11 +64,13 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, release: bool = False) -> DataFrame:
+        """df as a stored table; with release, shuffle files that were needed for it may go."""
         self.count += 1
         path = f"{self.root}/t{self.count}"
         df.write.parquet(path)
-        settle(self.spark)
+        if release:
+            settle(self.spark)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -79,6 +81,18 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Ids that drop_ids broadcasts at most.
+BROADCAST_IDS = 1_000_000
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is not in ids (one column of the same name; a stored table). Few ids are broadcast, so no text is shuffled."""
+    gone = ids.select(F.col(id_col).alias("__gone__"))
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col] == F.col("__gone__"), "left_anti")
+
+
 def settle(spark: SparkSession) -> None:
     """Let Spark drop shuffle files that no plan can reach any more."""
     gc.collect()

@@ -179,7 +179,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     found = scratch.save(segments(docs, window, gram, id_col, text_col))
     shared = found.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("key")
-    members = scratch.save(found.join(shared, "key", "left_semi"))
+    members = scratch.save(found.join(shared, "key", "left_semi"), release=True)
     scratch.drop(found)
     classes = members.groupBy("key", "body", "n").agg(F.min(F.struct("doc", "start")).alias("x")).select("key", "body", "n", "x.doc", "x.start")
     classes = scratch.save(classes)
@@ -191,7 +191,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     matches = docs.sparkSession.createDataFrame([], _MATCH)
     if total:
         content = contents(docs, classes.join(cold.select("key"), "key", "left_semi"), window, id_col, text_col)
-        matches = scratch.save(indexed_matches(content, -(-total // SHARD_WORDS), window))
+        matches = scratch.save(indexed_matches(content, -(-total // SHARD_WORDS), window), release=True)
     if hot.limit(1).count():
         content = scratch.save(contents(docs, classes.join(hot.select("key"), "key", "left_semi"), window, id_col, text_col))
         matches = matches.unionByName(scratch.save(hot_matches(content, window)))
@@ -200,7 +200,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     placed = members.join(least, ["key", "body", "n"])
     whole = placed.where(F.col("doc") > F.col("least")).select("doc", F.col("start").alias("a"), (F.col("start") + F.col("n") + window - 1).alias("b"))
     parts = placed.where(F.col("doc") == F.col("least")).join(matches, ["key", "body", "n"]).select("doc", (F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi") + window - 1).alias("b"))
-    spans = scratch.save(whole.unionByName(parts).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    spans = scratch.save(whole.unionByName(parts).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")), release=True)
     scratch.drop(members, classes, per_key)
     return spans
 
