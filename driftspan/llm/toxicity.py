@@ -5,7 +5,7 @@ n-grams' embeddings (up to six bytes); the first dimension of each starts as the
 for the word or n-gram (its log odds in standard errors, less a threshold). Two gated recurrent layers read a window of words in either direction,
 attention pools their states, and a logistic unit scores the window. All overlapping windows
 of a text are scored; a logistic function of their highest, mean and three highest logits, fitted on
-training rows, is the text's score.
+all windows of the sampled training rows, is the text's score.
 
 Training is plain numpy on the driver, on a bounded sample of labelled rows (``sample_rows`` a
 class, at most ``sample_windows`` random windows of each). A window of a toxic text need not be
@@ -34,19 +34,21 @@ from driftspan.llm.common import FOLD, byte_class, read_table, text_slices, word
 #: Words of a window, and words from one window's start to the next.
 WINDOW, STRIDE = 48, 40
 #: Labelled rows of a class that training takes, about, and windows of each.
-SAMPLE_ROWS = 3000
-SAMPLE_WINDOWS = 5
+SAMPLE_ROWS = 2000
+SAMPLE_WINDOWS = 4
 WORD_BITS, CHAR_BITS = 16, 16
 #: Bytes of an n-gram; it ends where the word begins.
 GRAM = 6
 SPREAD = np.float32(3)
 EMBED, HIDDEN, ATTEND = 8, 12, 8
+#: Training texts whose features are made together.
+ROWS_TOGETHER = 256
 #: Standard errors of a label's evidence for a word that are ignored.
 EVIDENCE = 2.2
 #: Learning rates: of embeddings as a share of the rest's.
 RATE, EMBED_RATE = 0.01, 0.1
 #: Passes over the sample and steps, at least.
-EPOCHS, STEPS = 5, 250
+EPOCHS, STEPS = 4, 250
 SEED = 7
 #: ASCII letters and digits and all bytes of non-ASCII characters.
 WORD_BYTE = byte_class(bytes(b for b in range(256) if b >= 0x80 or chr(b).isalnum()))
@@ -201,13 +203,33 @@ class _Adam:
 class _Windows:
     """Features of window texts, made once for training."""
 
-    def __init__(self, texts: list[bytes]):
-        off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        self.words, self.grams, self.starts, self.ends, rows = word_features(data, off)
-        self.of = rows
-        count = np.bincount(rows, minlength=len(texts))
-        self.first = np.concatenate([[0], np.cumsum(count)[:-1]])
+    def __init__(self, texts: list[bytes], toxic: np.ndarray, row: np.ndarray):
+        """Features are made, and the labels' evidence is counted, a few hundred texts at a time; row ascends."""
+        words, grams, starts, ends, count = [], [], [], [], np.zeros(len(texts), np.int64)
+        tally = {bits: np.zeros((2, 1 << bits)) for bits in (WORD_BITS, CHAR_BITS)}
+        cut = [0, *(np.flatnonzero(row[1:] != row[:-1]) + 1).tolist(), len(texts)]  # of whole texts' windows
+        cut = [*cut[:-1:ROWS_TOGETHER], cut[-1]]
+        base = 0
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            off = np.concatenate([[0], np.cumsum([len(t) for t in texts[lo:hi]])])
+            w, g, s, e, of = word_features(np.frombuffer(b"".join(texts[lo:hi]), np.uint8), off)
+            count[lo:hi] = np.bincount(of, minlength=hi - lo)
+            size = e - s
+            inside = np.repeat(s - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            text = row[lo + of]
+            for bits, at, bucket in ((WORD_BITS, text, w), (CHAR_BITS, np.repeat(text, size), g[inside])):
+                pairs = np.unique(at.astype(np.int64) << bits | bucket)
+                for label in (0, 1):
+                    mine = pairs[(toxic[pairs >> bits] > 0) == label] & ((1 << bits) - 1)
+                    tally[bits][label] += np.bincount(mine, minlength=1 << bits)
+            words.append(w)
+            grams.append(g)
+            starts.append((s + base).astype(np.int32))
+            ends.append((e + base).astype(np.int32))
+            base += int(off[-1])
+        self.words, self.grams, self.starts, self.ends = map(np.concatenate, (words, grams, starts, ends))
+        self.tally = tally
+        self.first = np.cumsum(count) - count
         self.count = np.minimum(count, WINDOW)
 
     def take(self, net: Network, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,13 +251,10 @@ def _embedding_gradients(net: Network, d_x: np.ndarray) -> dict:
     return out
 
 
-def evidence(row: np.ndarray, bucket: np.ndarray, toxic: np.ndarray, bits: int) -> np.ndarray:
-    """Of each bucket, how many standard errors beyond EVIDENCE its log odds of toxic texts lie from even, scaled."""
-    pairs = np.unique(row.astype(np.int64) << bits | bucket)
-    of, b = toxic[pairs >> bits] > 0, pairs & ((1 << bits) - 1)
-    yes, no = np.bincount(b[of], minlength=1 << bits) + 0.5, np.bincount(b[~of], minlength=1 << bits) + 0.5
-    n_yes, n_no = (toxic > 0).sum() + 1, (toxic <= 0).sum() + 1
-    z = (np.log(yes / n_yes) - np.log(no / n_no)) / np.sqrt(1 / yes + 1 / no)
+def evidence(tally: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Of each bucket, how many standard errors beyond EVIDENCE its log odds of toxic texts lie from even, scaled; tally counts clean and toxic texts."""
+    no, yes = tally + 0.5
+    z = (np.log(yes / ((toxic > 0).sum() + 1)) - np.log(no / ((toxic <= 0).sum() + 1))) / np.sqrt(1 / yes + 1 / no)
     z[(yes < 1) & (no < 1)] = 0
     return (np.sign(z) * np.maximum(np.abs(z) - EVIDENCE, 0) / 2).astype(np.float32).clip(-3, 3)
 
@@ -246,14 +265,12 @@ def train(texts: list[bytes], row: np.ndarray, toxic: np.ndarray, seed: int = SE
     if not len(texts) or toxic.min() == toxic.max():
         net.constant = float(toxic.mean()) if len(toxic) else 0.0
         return net
-    w = _Windows(texts)
+    row = np.asarray(row)
+    w = _Windows(texts, toxic, row)
     usable = np.flatnonzero(w.count > 0)
-    row, r, adam = np.asarray(row), np.random.default_rng(seed), _Adam(RATE)
-    of_word = np.repeat(row, np.bincount(w.of, minlength=len(texts)))
-    net.p["word"][:, 0] = evidence(of_word, w.words, toxic, WORD_BITS)
-    size = w.ends - w.starts
-    grams = w.grams[np.repeat(w.starts - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
-    net.p["char"][:, 0] = evidence(np.repeat(of_word, size), grams, toxic, CHAR_BITS)
+    r, adam = np.random.default_rng(seed), _Adam(RATE)
+    net.p["word"][:, 0] = evidence(w.tally[WORD_BITS], toxic)
+    net.p["char"][:, 0] = evidence(w.tally[CHAR_BITS], toxic)
     y = toxic[row].astype(np.float32)
     weight = np.ones(len(texts), np.float32)
     epochs = max(EPOCHS, -(-STEPS * batch // max(1, len(usable))))
@@ -275,9 +292,6 @@ def train(texts: list[bytes], row: np.ndarray, toxic: np.ndarray, seed: int = SE
             clip = min(1.0, 5.0 / (norm + 1e-9))
             adam.step(net.p, {k: (slice(None), g * np.float32(clip)) for k, g in grad.items()} | _embedding_gradients(net, d_x * np.float32(clip)))
         adam.rate *= 0.25 ** (1 / epochs)
-    logit = _score_windows(net, w, usable)
-    seen, features = text_features(row[usable], logit[usable], len(toxic))
-    net.calibration = _logistic(features[seen], toxic[seen] > 0)
     return net
 
 
@@ -303,34 +317,32 @@ def text_features(of: np.ndarray, logit: np.ndarray, n: int) -> tuple[np.ndarray
     return seen, np.stack([top, total(place >= 0) / some, total(place < 3) / np.minimum(some, 3), np.log(some), np.ones(n)], 1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Coefficients by Newton's method."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Coefficients by Newton's method, of weighted rows."""
     c = np.zeros(x.shape[1])
     for _ in range(50):
         p = _sigmoid(x @ c)
-        v = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((x * v[:, None]).T @ x + ridge * np.eye(len(c)), x.T @ (p - y) + ridge * c)
+        v = weight * np.maximum(p * (1 - p), 1e-6)
+        step = np.linalg.solve((x * v[:, None]).T @ x + ridge * np.eye(len(c)), x.T @ (weight * (p - y)) + ridge * c)
         c = c - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-7:
             break
     return c
 
 
-def score_texts(net: Network, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Score and number of windows of each text; all overlapping windows are scored."""
+def texts_features(net: Network, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of windows and text_features of each text; all overlapping windows are scored."""
     n = len(texts)
-    score, windows = np.zeros(n), np.zeros(n, np.int64)
-    if net.constant is not None:
-        return score + net.constant, windows
+    windows, out = np.zeros(n, np.int64), np.zeros((n, len(net.calibration)))
     for lo, hi, data, off in text_slices(texts):
         words, grams, starts, ends, rows = word_features(data, off)
         if not len(words):
             continue
         count = np.bincount(rows, minlength=hi - lo)
-        first = np.concatenate([[0], np.cumsum(count)[:-1]])
+        first = np.cumsum(count) - count
         n_windows = np.where(count > 0, 1 + np.maximum(0, -(-(count - WINDOW) // STRIDE)), 0)
         of = np.repeat(np.arange(hi - lo), n_windows)
-        k = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(n_windows)[:-1]]), n_windows)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
         begin = first[of] + k * STRIDE
         end = (first + count)[of]
         x = net.inputs(words, grams, starts, ends)
@@ -340,10 +352,17 @@ def score_texts(net: Network, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             part = slice(int(begin[i]), int(min(at[-1, -1] + 1, len(words))))
             at = np.where(at < end[i : i + 2048, None], at - part.start, -1)
             logits[i : i + 2048] = net.forward(x[part], at)[0]
-        seen, features = text_features(of, logits, hi - lo)
-        score[lo:hi][seen] = _sigmoid(features[seen] @ net.calibration)
+        out[lo:hi] = text_features(of, logits, hi - lo)[1]
         windows[lo:hi] = n_windows
-    return score, windows
+    return windows, out
+
+
+def score_texts(net: Network, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Score and number of windows of each text."""
+    if net.constant is not None:
+        return np.full(len(texts), net.constant), np.zeros(len(texts), np.int64)
+    windows, features = texts_features(net, texts)
+    return np.where(windows > 0, _sigmoid(features @ net.calibration), 0.0), windows
 
 
 def remainder(doc_id: str, mod: int) -> Column:
@@ -387,7 +406,29 @@ def fit(docs: DataFrame, labels: DataFrame, trained: Column, sample_rows: int =
     ids, row = np.unique(of[order], return_inverse=True)
     toxic = np.zeros(len(ids), np.int64)
     toxic[row] = (label[order] > 0).astype(np.int64)
-    return train([texts[i] for i in order], row, toxic)
+    net = train([texts[i] for i in order], row, toxic)
+    if net.constant is None:
+        net.calibration = calibrate(net, sample, counts)
+    return net
+
+
+def calibrate(net: Network, sample: DataFrame, counts: dict[int, int]) -> np.ndarray:
+    """Coefficients of the text's score, from all windows of the sampled texts; counts are all labelled rows of a class, for its weight."""
+    net.last = None
+    shared = sample.sparkSession.sparkContext.broadcast(net)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows, features = texts_features(shared.value, batch.column(1))
+            flat = pa.array(features.ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, features.shape[1], dtype=np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(windows), lists], ["row", "toxic", "windows", "x"])
+
+    found = sample.mapInArrow(run, "row long, toxic int, windows long, x array<double>").where("windows > 0").toArrow().sort_by("row")  # a row a sampled text
+    x = np.array(found["x"].to_pylist()).reshape(found.num_rows, -1)
+    y = (found["toxic"].to_numpy() > 0).astype(np.float64)
+    drawn = np.array([max(1, (y == 0).sum()), max(1, (y == 1).sum())])
+    return _logistic(x, y, np.array([counts.get(0, 0), counts.get(1, 0)])[y.astype(int)] / drawn[y.astype(int)])
 
 
 def toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
