@@ -10,7 +10,8 @@
    linked along the lists of frequent values: each member with one hub of the list, not with
    each other; then each list's members outside its largest component with its other members,
    but only if their exact distances to the hubs leave room for a link (Jaccard distance is a
-   metric, so the differences of distances to a hub bound the distance from below).
+   metric, so the differences of distances to a hub bound the distance from below) and their
+   union sketch passes.
 4. The union sketch of a pair estimates its similarity; pairs far below the threshold go.
 5. The exact Jaccard coefficient of the full sets confirms each link.
 6. Links are contracted to components with tables in the shared folder; nothing is collected.
@@ -37,7 +38,9 @@ from pyspark.sql import functions as F
 
 from driftspan.llm.common import FOLD, SPACE_BYTES, Scratch, byte_class, gram_hashes, mix, read_table, text_slices, word_hashes, word_spans
 
-SHINGLE = 4
+SHINGLE = 5
+#: The contract's query takes shorter shingles.
+CONTRACT_SHINGLE = 4
 #: A pair is linked if 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Values of a sketch, and of them those that a class lists while few of its values are frequent.
@@ -171,7 +174,7 @@ class _Linker:
         sized = self.classes.select(F.col("rep").alias("id"), "n", F.size("sketch").alias("k"))
         shared = shared.join(sized, F.col("rep") == F.col("id"))
         share = F.size(F.filter("e", lambda x: x["hot"])) / F.col("k")
-        shared = self.scratch.save(shared.select("rep", "n", "e", share.alias("share")))
+        shared = self.scratch.save(shared.select("rep", "n", "e", share.alias("share")), release=True)
         hot_ranks = F.transform(F.filter("e", lambda x: x["hot"]), lambda x: x["r"])
         limit = F.when(F.col("share") <= SOME, KEYS).otherwise(SKETCH)
         ranked = shared.select("rep", "n", "e", limit.alias("most"), hot_ranks.alias("hot_ranks"))
@@ -218,14 +221,19 @@ class _Linker:
             members = members.join(h.select("v", F.col("hub").alias(f"hub{k}")), "v")
             members = members.join(both.select(F.col("p").alias("rep"), F.col("q").alias(f"hub{k}"), F.col("distance").alias("d")), ["rep", f"hub{k}"], "left")
             members = members.withColumn(f"d{k}", F.when(F.col("rep") == F.col(f"hub{k}"), 0.0).otherwise(F.col("d"))).drop("d", f"hub{k}")
-        members = self.scratch.save(members)
+        # each member with its own lists and sketch, so a pair meets once and unlikely pairs are never made
+        own = members.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("r", "v"))).alias("e"))  # LAST_KEYS entries at most
+        own = own.select(F.col("rep").alias("of"), F.transform("e", lambda x: x["v"]).alias("lists")).join(self.classes.select(F.col("rep").alias("of2"), "sketch"), F.col("of") == F.col("of2")).drop("of2")
+        members = self.scratch.save(members.join(own, F.col("rep") == F.col("of")).drop("of"))
         largest = members.groupBy("v", "comp").agg(F.count("*").alias("size")).groupBy("v").agg(F.max(F.struct("size", "comp")).alias("x")).select("v", F.col("x.comp").alias("largest"))
         outside = members.join(largest, "v").where("comp <> largest").drop("largest")
         y = members.select("v", *(F.col(c).alias(f"y_{c}") for c in members.columns if c != "v"))
         room = [F.coalesce(F.abs(F.col(f"d{k}") - F.col(f"y_d{k}")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True)) for k in range(len(hubs))]
-        near = outside.join(y, "v").where((F.col("comp") != F.col("y_comp")) & similar_sizes(F.col("n"), F.col("y_n")) & reduce(lambda p, q: p & q, room))
+        possible = (F.col("comp") != F.col("y_comp")) & similar_sizes(F.col("n"), F.col("y_n")) & reduce(lambda p, q: p & q, room)
+        outside, y = outside.withColumnRenamed("v", "x_v"), y.withColumnRenamed("v", "y_v")
+        near = outside.join(y, (F.col("x_v") == F.col("y_v")) & possible & (F.element_at(F.array_intersect("lists", "y_lists"), 1) == F.col("x_v")) & estimate_passes(F.col("sketch"), F.col("y_sketch")))
         pairs = near.select(F.least("rep", "y_rep").alias("a"), F.greatest("rep", "y_rep").alias("b")).distinct()
-        return self.estimated(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
     def read_sets(self, *pairs: DataFrame) -> None:
         ids = [p.select(F.col(c).alias("id")) for p in pairs for c in ("a", "b")] + [self.hot.select(F.col("rep").alias("id"))]
@@ -266,7 +274,7 @@ class _Linker:
 def near_dedup(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, class_id, component_id, kept) of every row: the smallest id of equal sets, and of the component."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
-    rows = scratch.save(sketches(docs, size, id_col, text_col))
+    rows = scratch.save(sketches(docs, size, id_col, text_col), release=True)
     classes = rows.where("n > 0").groupBy("n", "digest").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = scratch.save(classes)
     linker = _Linker(scratch, docs, classes.where("rep IS NOT NULL").select("rep", "n", "sketch"), size, id_col, text_col)
@@ -284,7 +292,7 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", tex
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns over all of documents."""
-    return near_dedup(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_dedup(read_table(spark, sf_dir, "documents"), CONTRACT_SHINGLE).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 ORACLE = rf"""
@@ -292,8 +300,8 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ),
 s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < {SHINGLE} THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - {SHINGLE - 2}), lambda i: array_to_string(ws[i:i + {SHINGLE - 1}], ' ')) END) AS shingle
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < {CONTRACT_SHINGLE} THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - {CONTRACT_SHINGLE - 2}), lambda i: array_to_string(ws[i:i + {CONTRACT_SHINGLE - 1}], ' ')) END) AS shingle
   FROM w
 ),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
