@@ -15,11 +15,9 @@ input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
 import os
-import re
-import sys
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,17 +34,22 @@ END_ID = 1
 TASK_PIECES = 50_000
 #: Bins that a partition above its bound reopens at most, besides as many as it is above the bound.
 REOPENED = 48
+#: Texts whose new words are looked up together, and runs of letters that are encoded in one call.
+TEXTS, TOGETHER = 64, 1024
 #: Distinct words whose ids a process remembers.
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
 REMEMBERED_BYTES = 64
-_CORE = re.compile(r"([^\W\d_]+)([.,!?;:]*)\Z")
+#: ASCII that is no letter, digit or white space: at a word's end it is a pre-token of its own.
+MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 
 
 class WordIds:
     """Ids of a tokenizer that drops white space, word by word, remembered as little-endian bytes.
 
     Pre-tokens of such a tokenizer never cross white space, so a text's ids are those of its
-    words one after the other; a word of letters and closing marks is letters, then marks.
+    words one after the other; a word of letters and closing marks is letters, then marks. Runs
+    of letters that are new are encoded together, with spaces between: each is one pre-token, so
+    it ends at the one token that carries the vocabulary's end-of-word suffix.
     """
 
     def __init__(self, spec: str):
@@ -54,48 +57,69 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        model = json.loads(spec)["model"]
+        suffix = model["end_of_word_suffix"]
+        self.ends = np.zeros(max(model["vocab"].values()) + 2, bool)
+        self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
         self.words: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.marks: dict[bytes, bytes] = {}
 
     def _encode(self, s: str) -> bytes:
-        ids = array("I", self.tokenizer.encode(s, add_special_tokens=False).ids)
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
-
-    def _core(self, s: str) -> bytes:
-        found = self.cores.get(s)
-        if found is None:
-            found = self._encode(s)
-            if len(self.cores) >= REMEMBERED:
-                self.cores.clear()
-            self.cores[s] = found
-        return found
-
-    def _word(self, w: bytes) -> bytes:
-        s = w.decode()
-        m = _CORE.match(s) if len(w) <= REMEMBERED_BYTES else None
-        if not m:
-            return self._encode(s)
-        core, marks = m.groups()
-        if core.isascii():
-            core = core.lower()
-        elif not core.lower().isalpha():  # the lower case of some letters ends in a mark, which is no letter
-            return self._encode(s)
-        return self._core(core) + self._core(marks) if marks else self._core(core)
-
-    def __call__(self, text: bytes) -> bytes:
-        out, get = [], self.words.get
-        for w in text.split():
-            ids = get(w)
-            if ids is None:
-                ids = self._word(w)
-                if len(w) <= REMEMBERED_BYTES:
-                    if len(self.words) >= REMEMBERED:
-                        self.words.clear()
-                    self.words[w] = ids
-            out.append(ids)
-        return b"".join(out)
+        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _encode_letters(self, runs: list[bytes]) -> None:
+        for lo in range(0, len(runs), TOGETHER):
+            part = runs[lo : lo + TOGETHER]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            ends = ((np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1) * 4).tolist()
+            if len(ends) != len(part):  # letters that this library sees otherwise
+                self.words.update((r, self._encode(r.decode())) for r in part)
+                continue
+            raw, begin = ids.tobytes(), 0
+            for run, end in zip(part, ends, strict=True):
+                self.words[run] = raw[begin:end]
+                begin = end
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, marks, parts, new = self.words, self.marks, [], set()
+        for w in words:
+            letters = w.rstrip(MARKS)
+            if letters.isalpha() and len(w) <= REMEMBERED_BYTES:  # ASCII letters
+                low = letters.lower()
+            elif letters and len(w) <= REMEMBERED_BYTES and (s := letters.decode()).isalpha() and s.lower().isalpha():
+                low = letters  # (the lower case of some letters ends in a mark, which is no letter)
+            else:
+                known[w] = self._encode(w.decode())
+                continue
+            if low not in known:
+                new.add(low)
+            if low != w:
+                rest = w[len(letters) :]
+                if rest not in marks:
+                    marks[rest] = self._encode(rest.decode()) if rest else b""
+                parts.append((w, low, rest))
+        self._encode_letters(list(new))
+        for w, low, rest in parts:
+            known[w] = known[low] + marks[rest]
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of some texts."""
+        known = self.words
+        split = [t.split() for t in texts]
+        found = [list(map(known.get, words)) for words in split]
+        unknown = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
+        if unknown:
+            if len(known) + 2 * len(unknown) > REMEMBERED:
+                known.clear()
+                self.marks.clear()
+                found = [[None] * len(words) for words in split]
+                unknown = set().union(*split)
+            self._learn(unknown)
+        out = [b"".join([known[w] if x is None else x for w, x in zip(words, ids, strict=True)] if None in ids else ids) for words, ids in zip(split, found, strict=True)]
+        for w in unknown:
+            if len(w) > REMEMBERED_BYTES:
+                del known[w]
+        return out
 
 
 _WORD_IDS: dict[int, WordIds] = {}
@@ -121,11 +145,13 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
             encode = _WORD_IDS[key] = WordIds(spec.value)
         for batch in batches:
             rows, cols = [], ([], [], [], [])
-            for i, t in enumerate(batch.column(1).cast(pa.binary())):
-                for values in cut(encode(t.as_py()) + end, capacity):
-                    rows.append(i)
-                    for c, v in zip(cols, values, strict=True):
-                        c.append(v)
+            texts = batch.column(1).cast(pa.binary())
+            for lo in range(0, len(texts), TEXTS):
+                for i, ids in enumerate(encode(texts[lo : lo + TEXTS].to_pylist()), lo):
+                    for values in cut(ids + end, capacity):
+                        rows.append(i)
+                        for c, v in zip(cols, values, strict=True):
+                            c.append(v)
             ids = batch.column(0).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
