@@ -50,7 +50,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL can express neither the network nor the tokeniser: tests hold the pipeline against its brute-force stages.
+#: SQL can express neither the network nor the tokeniser. The operators are tested one by one; a test of the whole pipeline is missing.
 ORACLE_SQL = None
 
 
