@@ -5,6 +5,11 @@ its lines, its paragraphs and itself. A block is compared with a licence templat
 number of its distinct bigrams lies within the bounds that the threshold sets: for Dice >= t,
 between t/(2-t) and (2-t)/t times the template's. The score is 2 * common / (sum of both).
 
+A licence that no block shows (one of several paragraphs, a wrapped one with lines around it, or
+one in mid-line) is sought in the word windows of the whole text. A best window begins and ends
+with a bigram of the template, so from each such bigram on, the best end is taken, up to the
+most bigrams that can match. A window inside a better one of another template is that one's part.
+
 Before that, texts and blocks that cannot match are dropped without loss: a block that reaches
 the threshold shares so many of a template's bigrams that it must hold one of any set of
 (bigrams - least common + 1) of them, so it must hold one of that template's cue words, which
@@ -12,7 +17,7 @@ are chosen to cover such a set. No text crosses a shuffle and nothing is grouped
 
 Defined cases: null or empty text has no licence; equal blocks of a text count once; of
 several templates over the threshold the best is reported, ties by name; all names found
-are listed; repeated rows get the same result; an empty table gives an empty result; other
+are listed; a licence found in windows only counts as one match, however often it occurs; repeated rows get the same result; an empty table gives an empty result; other
 columns of the input are ignored, whatever their names.
 """
 
@@ -21,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +112,53 @@ def _matches(sets: Column, name: str, own: list[str], threshold: float) -> Colum
     return F.filter(scored, lambda x: x["dice"] >= F.lit(threshold))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _best_end(tagged: Column, start: Column, template: Column) -> Column:
+    """(dice, name, lo, hi) of the best window that begins at start; bigrams of the template are tagged '+'."""
+    part = F.slice(tagged, start, template["longest"])
+
+    def grown(s: Column, g: Column) -> Column:
+        seen, common = s["seen"] + 1, s["common"] + F.when(g.startswith("+"), 1).otherwise(0)
+        dice = F.lit(2.0) * common / (seen + template["n"])
+        better = dice > s["dice"]
+        return F.struct(seen.alias("seen"), common.alias("common"), F.when(better, dice).otherwise(s["dice"]).alias("dice"), F.when(better, g).otherwise(s["last"]).alias("last"))
+
+    none = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("common"), F.lit(0.0).alias("dice"), F.lit("").alias("last"))
+    best = F.aggregate(F.array_distinct(part), none, grown)
+    return _let(best, lambda b: F.struct(b["dice"].alias("dice"), template["name"].alias("name"), start.alias("lo"), (start + F.array_position(part, b["last"]) - 1).alias("hi")))
+
+
+def _windows(text_grams: Column, templates: Column, threshold: float) -> Column:
+    """(dice, name, lo, hi) of the windows of a text's consecutive bigrams that reach the threshold with one of templates."""
+
+    def of(template: Column) -> Column:
+        tagged = F.transform(text_grams, lambda g: F.concat(F.when(F.array_contains(template["own"], g), "+").otherwise("-"), g))
+
+        def within(t: Column) -> Column:
+            hits = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: F.element_at(t, i).startswith("+"))
+            starts = _let(hits, lambda h: F.filter(h, lambda p, k: F.get(h, k + template["need"] - 1) - p < template["longest"]))
+            return F.filter(F.transform(starts, lambda p: _best_end(t, p, template)), lambda x: x["dice"] >= F.lit(threshold))
+
+        return _let(tagged, within)
+
+    whole = lambda found: F.filter(found, lambda x: ~F.exists(found, lambda y: (y["name"] != x["name"]) & (y["dice"] > x["dice"]) & (y["lo"] <= x["lo"]) & (y["hi"] >= x["hi"])))
+    return _let(F.flatten(F.transform(templates, of)), whole)
+
+
+def _template_rows(templates: dict[str, str], threshold: float) -> Column:
+    """Of each template its name, bigrams, fewest common ones of a match, and most consecutive ones of a window."""
+    rows = []
+    for name, text in sorted(templates.items()):
+        own, words = bigrams(text), len(re.findall("[a-z0-9]+", text.lower()))
+        need, longest = size_bounds(len(own), threshold)[0], size_bounds(words - 1, threshold)[1]
+        rows.append(F.struct(F.lit(name).alias("name"), F.lit(len(own)).alias("n"), F.lit(need).alias("need"), F.lit(longest).alias("longest"), F.array(*[F.lit(b) for b in own]).alias("own")))
+    return F.array(*rows)
+
+
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, license, dice, licenses, n_blocks) of every row: the best template and its score, all names, matching blocks."""
     templates = templates or TEMPLATES
@@ -123,16 +176,29 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
     blocks = F.filter(blocks, lambda b: _any([F.contains(b, F.lit(c)) for c in cues]))
     blocks = F.array_distinct(F.transform(blocks, normal))
 
+    def pairs(words: Column) -> Column:
+        return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda x, y: F.concat(x, F.lit(" "), y))
+
     def grams(b: Column) -> Column:
         words = F.split(b, " ")
-        return F.when(F.size(words) < 2, F.array().cast("array<string>")).otherwise(
-            F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda x, y: F.concat(x, F.lit(" "), y)))
-        )
+        return F.when(F.size(words) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(pairs(words)))
 
     sets = F.transform(blocks, grams)
     found = F.concat(*[_matches(F.col("sets"), name, bigrams(template), threshold) for name, template in sorted(templates.items())])
-    with_sets = rows.select("id", F.when(holds_cue, sets).otherwise(F.array().cast("array<array<string>>")).alias("sets"))
-    hits = with_sets.select("id", found.alias("found"))
+    with_sets = rows.select("id", "t", F.when(holds_cue, sets).otherwise(F.array().cast("array<array<string>>")).alias("sets"))
+    # the last set is the whole text's
+    known = sorted({b for text in templates.values() for b in bigrams(text)})
+    common = F.when(F.size("sets") > 0, F.filter(F.element_at("sets", -1), lambda g: g.isin(known))).otherwise(F.array().cast("array<string>"))
+    in_blocks = with_sets.select("id", "t", common.alias("common"), found.alias("in_blocks"))
+    possible = F.filter(_template_rows(templates, threshold), lambda x: (F.size("common") >= x["need"]) & (F.size(F.array_intersect(F.col("common"), x["own"])) >= x["need"]))
+    possible = in_blocks.select("id", "t", "in_blocks", possible.alias("possible"))
+    new = F.exists("possible", lambda x: ~F.exists("in_blocks", lambda y: y["name"] == x["name"]))
+    windows = F.when(new, _let(pairs(F.split(normal(F.col("t")), " ")), lambda g: _windows(g, F.col("possible"), threshold)))
+    windows = F.filter(windows, lambda x: ~F.exists("in_blocks", lambda y: y["name"] == x["name"]))
+    windows = F.coalesce(windows, F.array().cast("array<struct<dice:double,name:string,lo:int,hi:bigint>>"))
+    parts = possible.select("id", "in_blocks", windows.alias("windows"))
+    once = F.transform(F.array_distinct(F.transform("windows", lambda x: x["name"])), lambda n: F.struct(F.array_max(F.transform(F.filter("windows", lambda x: x["name"] == n), lambda x: x["dice"])).alias("dice"), n.alias("name")))
+    hits = parts.select("id", F.concat("in_blocks", once).alias("found"))
     best = F.array_max(F.transform(F.col("found"), lambda x: x["dice"]))
     name = F.array_min(F.transform(F.filter(F.col("found"), lambda x: x["dice"] == best), lambda x: x["name"]))
     names = F.array_join(F.array_sort(F.array_distinct(F.transform(F.col("found"), lambda x: x["name"]))), ",")

@@ -171,6 +171,25 @@ def test_licences(spark):
     assert license_scan.license_scan(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_licences_that_are_no_block(spark):
+    text = license_scan.TEMPLATES
+    prose = "\n".join(" ".join(words(random.Random(k), 12)) for k in range(30))
+    wrapped = text["GPL-3.0-notice"].split()
+    wrapped = "\n".join(" ".join(wrapped[i : i + 9]) for i in range(0, len(wrapped), 9))
+    mit = text["MIT-text"].replace(" The above copyright", "\n\nThe above copyright").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS", 1)
+    assert mit.count("\n\n") == 2
+    rows = [
+        (0, f"{prose}\n\n{mit}\n\n{prose}", "MIT-text"),
+        (1, f"{prose}\n{wrapped}\n{prose}", "GPL-3.0-notice"),
+        (2, f"This library of mine, which took long to write, is good. {text['MIT']} It has no tests at all, but many friends.", "MIT"),
+        (3, f"{prose} while all of it is {text['CC-BY-NC-SA-4.0']} {prose}", "CC-BY-NC-SA-4.0"),
+        (4, f"{prose} the river {' '.join(text['MIT-text'].split()[::-1])} {prose}", None),
+    ]
+    got = {x.doc_id: x for x in license_scan.license_scan(frame(spark, [(i, t, None, None, 0) for i, t, _ in rows])).collect()}
+    assert [got[i].license for i, *_ in rows] == [x for *_, x in rows]
+    assert [got[i].dice for i in range(4)] == [1.0] * 4 and got[3].licenses == "CC-BY-NC-SA-4.0" and got[3].n_matches == 1
+
+
 @pytest.mark.parametrize("threshold", [0.6, 0.8, 0.95])
 def test_cue_words_lose_nothing(threshold):
     r = random.Random(2)
