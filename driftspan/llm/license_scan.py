@@ -10,10 +10,13 @@ one in mid-line) is sought in the word windows of the whole text. A best window
 with a bigram of the template, so from each such bigram on, the best end is taken, up to the
 most bigrams that can match. A window inside a better one of another template is that one's part.
 
-Before that, texts and blocks that cannot match are dropped without loss: a block that reaches
-the threshold shares so many of a template's bigrams that it must hold one of any set of
-(bigrams - least common + 1) of them, so it must hold one of that template's cue words, which
-are chosen to cover such a set. No text crosses a shuffle and nothing is grouped.
+Before that, texts and blocks that cannot match are dropped without loss: a text is cut only if it
+holds as many of some template's bigrams as a match shares with it at least; and a block that
+reaches the threshold must hold one of any set of (bigrams - least common + 1) of them, so it
+must hold one of that template's cue words, which are chosen to cover such a set. No text crosses a shuffle and nothing is grouped.
+
+The templates are the one-line and file notices of the licences and the whole texts of MIT, ISC,
+BSD-2-Clause, BSD-3-Clause and Zlib; the bodies of the longer licences are left out.
 
 Defined cases: null or empty text has no licence; equal blocks of a text count once; of
 several templates over the threshold the best is reported, ties by name; all names found
@@ -35,7 +38,7 @@ from driftspan.llm.common import lower_ascii, read_table
 
 THRESHOLD = 0.8
 
-# Notices and texts of common public licences.
+# Notices and short texts of common public licences. The bodies of Apache, CC, GPL, LGPL, AGPL and MPL are not among them.
 TEMPLATES = {
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -60,6 +63,17 @@ TEMPLATES = {
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.",
 }
 
+_BSD_TERMS = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. '
+_BSD_NAMES = '3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. '
+_BSD_DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+
+#: Whole licences that the SQL's templates lack.
+TEXTS = {
+    "BSD-2-Clause-text": _BSD_TERMS + _BSD_DISCLAIMER,
+    "BSD-3-Clause-text": _BSD_TERMS + _BSD_NAMES + _BSD_DISCLAIMER,
+    "Zlib-text": TEMPLATES["Zlib"] + " 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+}
+
 
 def bigrams(text: str) -> list[str]:
     """Distinct word bigrams of the normalised text, in order."""
@@ -132,6 +146,12 @@ def _best_end(tagged: Column, start: Column, template: Column) -> Column:
     return _let(best, lambda b: F.struct(b["dice"].alias("dice"), template["name"].alias("name"), start.alias("lo"), (start + F.array_position(part, b["last"]) - 1).alias("hi")))
 
 
+def _covers(y: Column, x: Column) -> Column:
+    """Whether window x is a part of y, a better one of another template, or an equally good but longer one."""
+    longer = y["hi"] - y["lo"] > x["hi"] - x["lo"]
+    return (y["name"] != x["name"]) & (y["lo"] <= x["lo"]) & (y["hi"] >= x["hi"]) & ((y["dice"] > x["dice"]) | ((y["dice"] == x["dice"]) & longer))
+
+
 def _windows(text_grams: Column, templates: Column, threshold: float) -> Column:
     """(dice, name, lo, hi) of the windows of a text's consecutive bigrams that reach the threshold with one of templates."""
 
@@ -145,7 +165,7 @@ def _windows(text_grams: Column, templates: Column, threshold: float) -> Column:
 
         return _let(tagged, within)
 
-    whole = lambda found: F.filter(found, lambda x: ~F.exists(found, lambda y: (y["name"] != x["name"]) & (y["dice"] > x["dice"]) & (y["lo"] <= x["lo"]) & (y["hi"] >= x["hi"])))
+    whole = lambda found: F.filter(found, lambda x: ~F.exists(found, lambda y: _covers(y, x)))
     return _let(F.flatten(F.transform(templates, of)), whole)
 
 
@@ -161,11 +181,10 @@ def _template_rows(templates: dict[str, str], threshold: float) -> Column:
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, license, dice, licenses, n_blocks) of every row: the best template and its score, all names, matching blocks."""
-    templates = templates or TEMPLATES
+    templates = templates or TEMPLATES | TEXTS
     cues = cue_words(templates, threshold)
     text = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t"))
-    holds_cue = _any([F.contains(F.col("t"), F.lit(c)) for c in cues])
 
     def normal(c: Column) -> Column:
         return F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))
@@ -183,20 +202,22 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
         words = F.split(b, " ")
         return F.when(F.size(words) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(pairs(words)))
 
-    sets = F.transform(blocks, grams)
-    found = F.concat(*[_matches(F.col("sets"), name, bigrams(template), threshold) for name, template in sorted(templates.items())])
-    with_sets = rows.select("id", "t", F.when(holds_cue, sets).otherwise(F.array().cast("array<array<string>>")).alias("sets"))
-    # the last set is the whole text's
     known = sorted({b for text in templates.values() for b in bigrams(text)})
-    common = F.when(F.size("sets") > 0, F.filter(F.element_at("sets", -1), lambda g: g.isin(known))).otherwise(F.array().cast("array<string>"))
-    in_blocks = with_sets.select("id", "t", common.alias("common"), found.alias("in_blocks"))
+    rows = rows.select("id", "t", F.split(normal(F.col("t")), " ").alias("words"))
+    rows = rows.select("id", "t", pairs(F.col("words")).alias("g"))
+    rows = rows.select("id", "t", "g", F.array_distinct(F.filter("g", lambda g: g.isin(known))).alias("common"))
     possible = F.filter(_template_rows(templates, threshold), lambda x: (F.size("common") >= x["need"]) & (F.size(F.array_intersect(F.col("common"), x["own"])) >= x["need"]))
-    possible = in_blocks.select("id", "t", "in_blocks", possible.alias("possible"))
+    rows = rows.select("id", "t", "g", possible.alias("possible"))
+    some = F.size("possible") > 0
+    rows = rows.select("id", "g", "possible", F.when(some, F.transform(blocks, grams)).alias("sets"))
+    found = F.concat(*[_matches(F.col("sets"), name, bigrams(template), threshold) for name, template in sorted(templates.items())])
+    nothing = F.array().cast("array<struct<dice:double,name:string>>")
+    rows = rows.select("id", "g", "possible", F.when(some, found).otherwise(nothing).alias("in_blocks"))
     new = F.exists("possible", lambda x: ~F.exists("in_blocks", lambda y: y["name"] == x["name"]))
-    windows = F.when(new, _let(pairs(F.split(normal(F.col("t")), " ")), lambda g: _windows(g, F.col("possible"), threshold)))
+    windows = F.when(new, _windows(F.col("g"), F.col("possible"), threshold))
     windows = F.filter(windows, lambda x: ~F.exists("in_blocks", lambda y: y["name"] == x["name"]))
     windows = F.coalesce(windows, F.array().cast("array<struct<dice:double,name:string,lo:int,hi:bigint>>"))
-    parts = possible.select("id", "in_blocks", windows.alias("windows"))
+    parts = rows.select("id", "in_blocks", windows.alias("windows"))
     once = F.transform(F.array_distinct(F.transform("windows", lambda x: x["name"])), lambda n: F.struct(F.array_max(F.transform(F.filter("windows", lambda x: x["name"] == n), lambda x: x["dice"])).alias("dice"), n.alias("name")))
     hits = parts.select("id", F.concat("in_blocks", once).alias("found"))
     best = F.array_max(F.transform(F.col("found"), lambda x: x["dice"]))
