@@ -47,7 +47,8 @@ PERCENT = 80
 SKETCH, KEYS = 64, 16
 #: A value that more classes retain is frequent.
 LONG_LIST = 64
-#: Share of frequent values from which a class lists all its rare values, and is linked along frequent ones.
+#: Shares of frequent values: above SOME a class lists all its rare values, from MOSTLY on it is linked along frequent ones.
+#: Linked sets that share at most one rare value are mostly frequent: 3 of 5 shingles at least (4 common ones of 5).
 SOME, MOSTLY = 0.2, 0.6
 #: Frequent values along which a class is compared at the end.
 LAST_KEYS = 10
@@ -181,7 +182,7 @@ class _Linker:
         rare = F.filter("e", lambda x: ~x["hot"] & (x["r"] - F.size(F.filter("hot_ranks", lambda q: q < x["r"])) < F.col("most")))
         self.keys = self.scratch.save(ranked.select("rep", "n", F.explode(F.transform(rare, lambda x: x["v"])).alias("v")))
         hot = F.filter("e", lambda x: x["hot"] & (x["r"] < KEYS))
-        self.hot = self.scratch.save(shared.where(F.col("share") > MOSTLY).select("rep", "n", F.explode(hot).alias("x")).select("rep", "n", "x.v", "x.r"))
+        self.hot = self.scratch.save(shared.where(F.col("share") >= MOSTLY).select("rep", "n", F.explode(hot).alias("x")).select("rep", "n", "x.v", "x.r"))
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose union sketches pass."""

@@ -77,6 +77,18 @@ def test_near_large_groups(spark, monkeypatch):
     assert got == brute_components({r[0]: r[1] for r in rows}, 4)
 
 
+@pytest.mark.parametrize("size", [4, 5])
+def test_near_short_texts_with_a_frequent_beginning(spark, size):
+    """Two sets of 5 and 4 shingles, 3 of them frequent: they share one rare value only."""
+    start = [f"c{i}" for i in range(size + 2)]
+    r = random.Random(8)
+    texts = [start + words(r, 20, 100_000) for _ in range(70)] + [[*start, "x", "y"], [*start, "x"]]
+    rows = [(i, " ".join(t), None, None, 0) for i, t in enumerate(texts)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_dedup(frame(spark, rows, False), size).collect()}
+    assert got == brute_components({r[0]: r[1] for r in rows}, size)
+    assert got[71] == (4, 70)
+
+
 def test_near_empty(spark):
     assert near_dedup.near_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
