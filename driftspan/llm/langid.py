@@ -7,7 +7,8 @@ language costs a fixed penalty, labels spans of mixed-language text. The predict
 language whose spans hold most bytes, the score its share of them.
 
 n-gram counts are summed on the executors over a bounded sample of labelled rows
-(``sample_rows``, chosen by a hash of the id); the model is n-gram buckets x languages, whatever
+(``sample_rows`` in all, equally many of each language and all rows of smaller ones, chosen by
+a hash of the id); the model is n-gram buckets x languages, whatever
 the input's size. All scoring is vectorised over bytes and, in Viterbi, over texts.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; a text whose
@@ -121,6 +122,15 @@ def _count(batches: Iterator[pa.RecordBatch], langs: list[str]) -> Iterator[pa.R
     yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[a, b])], ["lang", "feature", "n"])
 
 
+def sample_shares(by_lang: dict[str, int], sample_rows: int) -> dict[str, float]:
+    """The share of each language's rows that is drawn: all rows of small languages, equally many of the others."""
+    out, left = {}, sample_rows
+    for k, (lang, n) in enumerate(sorted(by_lang.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(1.0, max(1.0, left / (len(by_lang) - k)) / n)
+        left -= out[lang] * n
+    return out
+
+
 def fit(docs: DataFrame, trained: Column, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log probabilities [bucket, language], scripts [script, language] in use), from labelled rows where trained holds."""
     labelled = docs.where(trained & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -128,8 +138,8 @@ def fit(docs: DataFrame, trained: Column, sample_rows: int = SAMPLE_ROWS, id_col
     langs = sorted(by_lang)
     if not langs:
         return [], np.zeros((1 << BITS, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool)
-    share = min(1.0, sample_rows / sum(by_lang.values()))
-    sample = labelled.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
+    below = F.create_map(*[F.lit(x) for lang, share in sample_shares(by_lang, sample_rows).items() for x in (lang, int(share * (1 << 30)))])
+    sample = labelled.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) < below[F.col(lang_col)]).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
     counted = sample.mapInArrow(lambda batches: _count(batches, langs), "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     counts = np.zeros((len(langs), (1 << BITS) + N_SCRIPTS))
     found = counted.toPandas()  # bounded: languages x features

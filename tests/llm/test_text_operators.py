@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from driftspan.llm import chat, decontam, langid, license_scan, packing, token_count, toxicity
@@ -279,6 +280,17 @@ def test_languages(spark, tmp_path):
     assert langid.identify(frame(spark, rows[:3]), unlabelled).first().lang_pred == "und"
 
 
+def test_rare_languages_are_sampled(spark):
+    r = random.Random(6)
+    vocabulary = {"en": ["the", "house", "with", "thing"], "ru": ["это", "дом", "хорошо"], "fi": ["hyvä", "talo", "kissa", "yksi"]}
+    langs = ["en"] * 2000 + ["ru"] * 4 + ["fi"] * 4
+    rows = [(i, " ".join(r.choice(vocabulary[x]) for _ in range(20)), x, "s", 0) for i, x in enumerate(langs)]
+    model = langid.fit(frame(spark, rows), F.lit(True), sample_rows=60)
+    got = {x.doc_id: x.lang_pred for x in langid.identify(frame(spark, rows[1990:]), model).collect()}
+    assert all(got[i] == langs[i] for i in got)
+    assert langid.sample_shares({"a": 10, "b": 100, "c": 1000}, 110) == {"a": 1.0, "b": 0.5, "c": 0.05}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_viterbi_equals_one_text_at_a_time(seed):
     r = np.random.default_rng(seed)
