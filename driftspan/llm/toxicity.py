@@ -8,9 +8,10 @@ of a text are scored; a logistic function of their highest, mean and three highe
 all windows of the sampled training rows, is the text's score.
 
 Training is plain numpy on the driver, on a bounded sample of labelled rows (``sample_rows`` a
-class, at most ``sample_windows`` random windows of each). A window of a toxic text need not be
-toxic itself, so after a first pass that labels windows by their text, only the highest scored
-windows of toxic texts count as toxic. The model's size is fixed; it is broadcast.
+class, all windows of each; fewer whole rows if these would be more than ``train_windows``). A
+window of a toxic text need not be toxic itself, so all windows of toxic texts compete: at first
+those with at least half of the text's highest evidence count as toxic, after two fifths of the
+passes those that the network scores highest. The model's size is fixed; it is broadcast.
 
 Scoring is vectorised over bytes for the input and over windows for the recurrence.
 
@@ -29,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspan.llm.common import FOLD, byte_class, read_table, text_slices, word_hashes, word_spans
+from driftspan.llm.common import FOLD, Scratch, byte_class, read_table, text_slices, word_hashes, word_spans
 
 #: Words of a window, and words from one window's start to the next.
 WINDOW, STRIDE = 48, 40
-#: Labelled rows of a class that training takes, about, and windows of each.
+#: Labelled rows of a class that training takes, about, with all their windows; fewer rows if these would be more windows.
 SAMPLE_ROWS = 2000
-SAMPLE_WINDOWS = 4
+TRAIN_WINDOWS = 60_000
 WORD_BITS, CHAR_BITS = 16, 16
 #: Bytes of an n-gram; it ends where the word begins.
 GRAM = 6
@@ -272,14 +273,13 @@ def train(texts: list[bytes], row: np.ndarray, toxic: np.ndarray, seed: int = SE
     net.p["word"][:, 0] = evidence(w.tally[WORD_BITS], toxic)
     net.p["char"][:, 0] = evidence(w.tally[CHAR_BITS], toxic)
     y = toxic[row].astype(np.float32)
-    weight = np.ones(len(texts), np.float32)
+    found = _window_evidence(net, w)
+    weight = ((y == 0) | (found >= _highest(found, row, len(toxic))[row] / 2)).astype(np.float32)
     epochs = max(EPOCHS, -(-STEPS * batch // max(1, len(usable))))
     for epoch in range(epochs):
         if epoch >= 0.4 * epochs:
             logit = _score_windows(net, w, usable)
-            top = np.full(len(toxic), -np.inf)
-            np.maximum.at(top, row[usable], logit[usable])
-            weight = np.where((y == 0) | (logit >= top[row]) | (logit > 0), 1, 0).astype(np.float32)
+            weight = ((y == 0) | (logit >= _highest(logit, row, len(toxic))[row]) | (logit > 0)).astype(np.float32)
         live = r.permutation(usable[weight[usable] > 0])
         balance = max(1.0, float((y[live] == 0).sum() / max(1, (y[live] == 1).sum()))) ** 0.5
         for i in range(0, len(live), batch):
@@ -295,6 +295,24 @@ def train(texts: list[bytes], row: np.ndarray, toxic: np.ndarray, seed: int = SE
     return net
 
 
+def _window_evidence(net: Network, w: _Windows) -> np.ndarray:
+    """Sum over each window's words of their evidence and their n-grams', where it speaks for toxic texts."""
+    cuts = np.stack([w.starts, w.ends], 1).ravel()
+    grams = net.p["char"][:, 0][w.grams]
+    if len(cuts) and cuts[-1] == len(grams):
+        cuts = cuts[:-1]
+    own = np.maximum(net.p["word"][w.words, 0] + np.add.reduceat(grams, cuts)[::2] / SPREAD, 0)
+    total = np.concatenate([[0], np.cumsum(own, dtype=np.float64)])
+    return total[w.first + w.count] - total[w.first]
+
+
+def _highest(score: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """The highest score of each of n texts' windows."""
+    top = np.full(n, -np.inf)
+    np.maximum.at(top, row, score)
+    return top
+
+
 def _score_windows(net: Network, w: _Windows, which: np.ndarray) -> np.ndarray:
     out = np.full(len(w.count), -np.inf, np.float32)
     for i in range(0, len(which), 4096):
@@ -331,7 +349,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 
 def texts_features(net: Network, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Number of windows and text_features of each text; all overlapping windows are scored."""
+    """Number of windows and text_features of each text; all windows are scored."""
     n = len(texts)
     windows, out = np.zeros(n, np.int64), np.zeros((n, len(net.calibration)))
     for lo, hi, data, off in text_slices(texts):
@@ -369,10 +387,12 @@ def remainder(doc_id: str, mod: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % mod
 
 
-def _sampled_windows(batches: Iterator[pa.RecordBatch], sample_windows: int) -> Iterator[pa.RecordBatch]:
+def _sampled_windows(batches: Iterator[pa.RecordBatch], chosen: set[int] | None = None) -> Iterator[pa.RecordBatch]:
+    """All windows of the rows, or of the chosen ones."""
     for batch in batches:
+        if chosen is not None:
+            batch = batch.filter(pa.array([x in chosen for x in batch.column(2).to_pylist()], pa.bool_()))
         rows, texts = [], []
-        seeds = batch.column(2).to_pylist()
         for lo, hi, data, off in text_slices(batch.column(1)):
             starts, ends, of = word_spans(data, off, WORD_BYTE)
             bounds = np.searchsorted(of, np.arange(hi - lo + 1))
@@ -382,8 +402,6 @@ def _sampled_windows(batches: Iterator[pa.RecordBatch], sample_windows: int) ->
                 if a == b:
                     continue
                 begins = np.arange(a, max(a + 1, b - WINDOW + STRIDE), STRIDE)
-                if len(begins) > sample_windows:
-                    begins = np.random.default_rng(seeds[lo + i] & 0x7FFFFFFF).choice(begins, sample_windows, replace=False)
                 for s in begins.tolist():
                     rows.append(lo + i)
                     texts.append(raw[starts[s] : ends[min(b, s + WINDOW) - 1]])
@@ -391,7 +409,28 @@ def _sampled_windows(batches: Iterator[pa.RecordBatch], sample_windows: int) ->
         yield pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(0).take(at), pa.array(texts, pa.binary())], ["row", "toxic", "text"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, trained: Column, sample_rows: int = SAMPLE_ROWS, sample_windows: int = SAMPLE_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> Network:
+def _counted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        count = np.zeros(batch.num_rows, np.int64)
+        for lo, hi, data, off in text_slices(batch.column(1)):
+            words = np.bincount(word_spans(data, off, WORD_BYTE)[2], minlength=hi - lo)
+            count[lo:hi] = np.where(words > 0, 1 + np.maximum(0, -(-(words - WINDOW) // STRIDE)), 0)
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(count)], ["row", "toxic", "windows"])
+
+
+def _fitting_rows(row: np.ndarray, toxic: np.ndarray, windows: np.ndarray, most: int) -> set[int]:
+    """Whole rows of about so many windows, the same share of either class's windows; one row of each at least."""
+    share, out = min(1.0, most / max(1, windows.sum())), set()
+    for of in (toxic > 0, toxic <= 0):
+        order = np.flatnonzero(of & (windows > 0))
+        order = order[np.argsort(row[order], kind="stable")]
+        total = np.cumsum(windows[order])
+        kept = max(1, int(np.searchsorted(total, share * total[-1], side="right"))) if len(order) else 0
+        out |= set(row[order[:kept]].tolist())
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, trained: Column, sample_rows: int = SAMPLE_ROWS, train_windows: int = TRAIN_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> Network:
     """A network trained on labelled rows where trained (a condition on id_col) holds."""
     known = labels.where(trained & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {int(r[0] > 0): r[1] for r in known.groupBy("toxic").count().collect()}
@@ -400,7 +439,11 @@ def fit(docs: DataFrame, labels: DataFrame, trained: Column, sample_rows: int =
     drawn = known.where(draw < share * (1 << 30))  # about 3 * sample_rows rows, whatever the input's size
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(drawn), F.col("id") == F.col("label_id"))
     sample = rows.select("toxic", "t", F.xxhash64(F.col("id").cast("string")).alias("row"))
-    windows = sample.mapInArrow(lambda b: _sampled_windows(b, sample_windows), "row long, toxic int, text binary").toArrow()
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = scratch.save(sample)  # a bounded number of rows
+    sizes = sample.mapInArrow(_counted_windows, "row long, toxic int, windows long").toArrow()
+    chosen = _fitting_rows(*(sizes[c].to_numpy() for c in ("row", "toxic", "windows")), train_windows)
+    windows = sample.mapInArrow(lambda b: _sampled_windows(b, chosen), "row long, toxic int, text binary").toArrow()
     texts, of, label = windows["text"].to_pylist(), windows["row"].to_numpy(), windows["toxic"].to_numpy()
     order = sorted(range(len(texts)), key=lambda i: (of[i], texts[i]))  # the same model, however the rows were split
     ids, row = np.unique(of[order], return_inverse=True)
@@ -409,6 +452,7 @@ def fit(docs: DataFrame, labels: DataFrame, trained: Column, sample_rows: int =
     net = train([texts[i] for i in order], row, toxic)
     if net.constant is None:
         net.calibration = calibrate(net, sample, counts)
+    scratch.drop(sample)
     return net
 
 

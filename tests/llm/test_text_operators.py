@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -344,3 +345,21 @@ def test_toxicity_learns(spark, tmp_path):
     assert kept == {i for i, x in got.items() if x.score < 0.5}
     one_class = toxicity.fit(frame(spark, rows), labels.where("toxic = 0"), toxicity.remainder("doc_id", 5) != 0)
     assert toxicity.toxicity(frame(spark, rows), one_class).first().score == 0.0
+
+
+@pytest.mark.parametrize("n", [60, 400])
+def test_toxicity_learns_one_marked_place(spark, n):
+    r = random.Random(3)
+    rows = [(i, " ".join(words(r, n, 5000) + (["vile", "insult"] if i % 4 == 0 else []) + words(r, n, 5000)), "en", "s", 0) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    net = toxicity.fit(frame(spark, rows), labels, toxicity.remainder("doc_id", 5) != 0)
+    got = {x.doc_id: x.predicted for x in toxicity.toxicity(frame(spark, rows), net).collect()}
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([got[i] == int(i % 4 == 0) for i in held]) > 0.95
+
+
+def test_toxicity_training_takes_whole_rows():
+    row, toxic, windows = np.arange(6), np.array([1, 0, 1, 0, 0, 0]), np.array([10, 10, 10, 10, 0, 50])
+    assert toxicity._fitting_rows(row, toxic, windows, 1000) == {0, 1, 2, 3, 5}
+    assert toxicity._fitting_rows(row, toxic, windows, 45) == {0, 1, 3}
+    assert toxicity._fitting_rows(row, toxic, windows, 1) == {0, 1}
