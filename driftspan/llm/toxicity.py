@@ -3,8 +3,8 @@
 A word enters the network as its hashed word embedding beside the scaled sum of its hashed byte
 n-grams' embeddings (up to six bytes); the first dimension of each starts as the evidence of the training labels
 for the word or n-gram (its log odds in standard errors, less a threshold). Two gated recurrent layers read a window of words in either direction,
-attention pools their states, and a logistic unit scores the window. All overlapping windows
-of a text are scored; a logistic function of their highest, mean and three highest logits, fitted on
+attention pools their states, and a logistic unit scores the window. Windows overlap by half at
+least, the last one ends with the text, and all are scored; a logistic function of their highest, mean and three highest logits, fitted on
 all windows of the sampled training rows, is the text's score.
 
 Training is plain numpy on the driver, on a bounded sample of labelled rows (``sample_rows`` a
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from driftspan.llm.common import FOLD, Scratch, byte_class, read_table, text_slices, word_hashes, word_spans
 
-#: Words of a window, and words from one window's start to the next.
-WINDOW, STRIDE = 48, 40
+#: Words of a window, and words from one window's start to the next; the last window ends with the text.
+WINDOW, STRIDE = 48, 24
 #: Labelled rows of a class that training takes, about, with all their windows; fewer rows if these would be more windows.
 SAMPLE_ROWS = 2000
 TRAIN_WINDOWS = 60_000
@@ -361,7 +361,7 @@ def texts_features(net: Network, texts: pa.Array) -> tuple[np.ndarray, np.ndarra
         n_windows = np.where(count > 0, 1 + np.maximum(0, -(-(count - WINDOW) // STRIDE)), 0)
         of = np.repeat(np.arange(hi - lo), n_windows)
         k = np.arange(len(of)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-        begin = first[of] + k * STRIDE
+        begin = first[of] + np.minimum(k * STRIDE, np.maximum(0, count[of] - WINDOW))
         end = (first + count)[of]
         x = net.inputs(words, grams, starts, ends)
         logits = np.empty(len(of), np.float32)
@@ -401,7 +401,7 @@ def _sampled_windows(batches: Iterator[pa.RecordBatch], chosen: set[int] | None
                 a, b = int(bounds[i]), int(bounds[i + 1])
                 if a == b:
                     continue
-                begins = np.arange(a, max(a + 1, b - WINDOW + STRIDE), STRIDE)
+                begins = np.minimum(np.arange(a, max(a + 1, b - WINDOW + STRIDE), STRIDE), max(a, b - WINDOW))
                 for s in begins.tolist():
                     rows.append(lo + i)
                     texts.append(raw[starts[s] : ends[min(b, s + WINDOW) - 1]])

@@ -358,6 +358,18 @@ def test_toxicity_learns_one_marked_place(spark, n):
     assert np.mean([got[i] == int(i % 4 == 0) for i in held]) > 0.95
 
 
+@pytest.mark.parametrize("n", [0, 1, 47, 48, 49, 72, 73, 100, 1000])
+def test_toxicity_windows_overlap_by_half(n):
+    text = " ".join(f"w{i}" for i in range(n))
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([text]), pa.array([5])], ["toxic", "t", "row"])
+    found = [x.decode().split() for b in toxicity._sampled_windows(iter([batch])) for x in b["text"].to_pylist()]
+    begins = [int(x[0][1:]) for x in found]
+    assert all(len(x) == min(n, toxicity.WINDOW) for x in found) and all(0 < b - a <= toxicity.WINDOW // 2 for a, b in zip(begins, begins[1:]))
+    assert not n or (begins[0] == 0 and found[-1][-1] == f"w{n - 1}")
+    assert toxicity.texts_features(toxicity.Network(), pa.array([text]))[0].tolist() == [len(found)]
+    assert next(toxicity._counted_windows(iter([batch])))["windows"].to_pylist() == [len(found)]
+
+
 def test_toxicity_training_takes_whole_rows():
     row, toxic, windows = np.arange(6), np.array([1, 0, 1, 0, 0, 0]), np.array([10, 10, 10, 10, 0, 50])
     assert toxicity._fitting_rows(row, toxic, windows, 1000) == {0, 1, 2, 3, 5}
