@@ -4,7 +4,9 @@ ASCII folding as Spark expressions, and vectorised word scanning of Arrow text."
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -46,6 +48,8 @@ def shared_folder(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="driftspan-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{own}")
@@ -94,8 +98,13 @@ def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFra
 
 
 def settle(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files that no plan can reach any more."""
+    """Let Spark drop what no plan can reach any more: shuffle files, broadcasts; and give freed memory back."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
     spark.sparkContext._jvm.System.gc()
 
 
@@ -141,26 +150,11 @@ def word_spans(data: np.ndarray, off: np.ndarray, word_byte: np.ndarray) -> tupl
     return starts, ends, np.searchsorted(off, starts, side="right") - 1
 
 
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE ** i and its inverse modulo 2**64, for i up to n."""
-    if not _POWERS or len(_POWERS[0]) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
-        inverse = pow(_BASE, -1, 1 << 64)
-        made = []
-        for b in (_BASE, inverse):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            made.append(np.cumprod(p, dtype=np.uint64))
-        if size > SLICE_BYTES + 1:
-            return made[0], made[1]
-        _POWERS[:] = made
-    return _POWERS[0], _POWERS[1]
+#: Bytes of a word that have a table of their own; longer words are digested one by one.
+TABLES = 64
+_TABLE = np.random.default_rng(20240229).integers(0, 1 << 64, TABLES * 256, dtype=np.uint64, endpoint=False)
+#: Odd constants that tell the lanes of a hash apart.
+_LANES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -173,26 +167,61 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same in every process; polynomial prefix sums, no loop over words."""
+    """A 64-bit hash of each word's bytes, the same in every process, by tabulation.
+
+    Each byte's place in its word has a table of random values, whose sum is hashed; so any two
+    different words collide with probability 2**-64, whatever their structure.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(data))
-    table = _BYTE if fold is None else _BYTE[fold]
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * power[: len(data)], out=total[1:], dtype=np.uint64)
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    size = ends - starts
+    before = np.cumsum(size) - size
+    total = int(before[-1] + size[-1])
+    place = np.arange(total, dtype=np.int64) - np.repeat(before, size)
+    at = place + np.repeat(starts, size)
+    letters = data[at] if fold is None else fold[data[at]]
+    np.minimum(place, TABLES - 1, out=place)
+    place <<= 8
+    place |= letters
+    out = mix(np.add.reduceat(_TABLE[place], before) + size.astype(np.uint64) * _LANES[0])
+    for i in np.flatnonzero(size > TABLES).tolist():
+        a, n = int(before[i]), int(size[i])
+        out[i] = int.from_bytes(hashlib.blake2b(letters[a : a + n].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
-def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k consecutive words; len(words) - k + 1 of them. Rows are not told apart."""
-    n = len(words) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(words))
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * power[: len(words)], out=total[1:], dtype=np.uint64)
-    return mix((total[k:] - total[:-k]) * inverse[:n])
+def _joined(a: np.ndarray, b: np.ndarray, lane: int) -> np.ndarray:
+    """The hash of two parts; either part alone decides it, so parts that differ seldom meet."""
+    return mix(mix(a + _LANES[lane]) + b)
 
 
-def as_long(h: np.ndarray) -> pa.Array:
-    return pa.array(h.view(np.int64))
+def gram_hashes(words: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
+    """Hashes of all k consecutive words, by doubling; len(words) - k + 1 of them. Rows are not told apart."""
+    if len(words) < k:
+        return np.zeros(0, np.uint64)
+    h, n = words, 1
+    while 2 * n <= k:
+        h = _joined(h[:-n], h[n:], lane)
+        n *= 2
+    rest = len(words) - k + 1
+    return _joined(h[:rest], h[k - n : k - n + rest], lane) if n < k else mix(h + _LANES[lane])
+
+
+def range_hashes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hashes of words[start : start + size], each by the two longest powers of two that cover it, and its size."""
+    out = np.zeros(len(starts), np.uint64)
+    h, n, most = words, 1, int(sizes.max()) if len(sizes) else 0
+    while n <= most:
+        at = np.flatnonzero((sizes >= n) & (sizes < 2 * n))
+        if len(at):
+            out[at] = _joined(h[starts[at]], h[starts[at] + sizes[at] - n], lane) + sizes[at].astype(np.uint64)
+        if 2 * n <= most:
+            h = _joined(h[:-n], h[n:], lane)
+        n *= 2
+    return mix(out)
+
+
+def as_digests(*lanes: np.ndarray) -> pa.Array:
+    """Binary values made of one 64-bit hash of each lane."""
+    raw = np.ascontiguousarray(np.stack(lanes, 1))
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * len(lanes)), len(raw), [None, pa.py_buffer(raw)]).cast(pa.binary())

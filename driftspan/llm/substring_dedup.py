@@ -5,22 +5,23 @@ A word goes if it lies in a window of WINDOW words that also starts in a documen
 1. Every window belongs to the least hash among its word grams (its key), so equal windows have
    equal keys wherever they stand. A run of windows with one key is a segment: key, place and a
    hash of its words. Only keys that occur in two documents go on.
-2. Equal segments are one class, held once, with its smallest document. All windows of its
-   other documents' segments go.
+2. Equal segments (by 128-bit digests of their words, from random tables) are one class, held
+   once, with its smallest document. All windows of its other documents' segments go: what the
+   index would answer for each of them is its own class, in a smaller document.
 3. Classes are dealt into shards of bounded size by their key. A shard's FM-index (wavelet matrix
-   over the Burrows-Wheeler transform) holds its classes' words. Each class is streamed against
-   it by backward search, held to occurrences in segments of smaller documents: the matching
-   statistics, whose matches of WINDOW words and more are reported as intervals.
-4. A key with more than HOT_CLASSES classes (a passage that very many documents share, each in
-   other surroundings) would overfill a shard. Its segments are cut into single windows with
-   the window's own hash as key; there equal keys are equal windows, summed up by partial
-   aggregates.
+   over the Burrows-Wheeler transform) holds its classes' words, compared as they are. Each class
+   is streamed against it by backward search, held to occurrences in segments of smaller
+   documents: the matching statistics, whose matches of WINDOW words and more are reported.
+4. A key whose classes hold more than HOT_WORDS words (a passage that very many documents share,
+   each in other surroundings) would overfill a shard. Its segments are cut into single windows
+   with the window's own 128-bit digest as key; there equal keys are equal windows, summed up by
+   partial aggregates, so such a key is spread over tasks by its windows.
 5. Spans are gathered per document and joined with the texts; documents without a span are
    read without a shuffle while the others are few enough to broadcast their ids.
 
 Defined cases: null text and text without words keep nothing and lose nothing; a document with
 a null id neither loses words nor takes them from others; rows that repeat an id are one
-document; an empty table gives an empty result; other columns are ignored.
+document; a very long text is read whole, in one slice of its own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,16 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspan.llm.common import SPACE_BYTES, Scratch, _powers, byte_class, gram_hashes, mix, read_table, text_slices, word_hashes, word_spans
+from driftspan.llm.common import SPACE_BYTES, Scratch, as_digests, byte_class, gram_hashes, range_hashes, read_table, text_slices, word_hashes, word_spans
 from driftspan.llm.fm_index import FMIndex
 
 WINDOW = 50
 #: Words of the grams whose least hash is a window's key.
 GRAM = 20
 #: Words that one shard's index holds, about.
-SHARD_WORDS = 500_000
-#: Classes of one key that a shard takes.
-HOT_CLASSES = 2000
+SHARD_WORDS = 150_000
+#: Words of one key's classes that a shard takes, so a shard is bounded by both.
+HOT_WORDS = 150_000
 #: Ids that are broadcast at most.
 BROADCAST_IDS = 500_000
 _WORD = ~byte_class(SPACE_BYTES)
@@ -58,22 +59,20 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_segments(words: np.ndarray, rows: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of all rows' words: (row, first word's number, windows, key, hash) of every run of windows with one key."""
+    """Of all rows' words: (row, first word's number, windows, key, 128-bit digest) of every run of windows with one key."""
     none = np.zeros(0, np.int64)
+    nothing = (none, none, none, none, pa.array([], pa.binary()))
     if len(words) < window:
-        return none, none, none, none, none
+        return nothing
     key = sliding_min(gram_hashes(words, gram).view(np.int64), window - gram + 1)
     at = np.flatnonzero(rows[: len(key)] == rows[window - 1 :])
     if not len(at):
-        return none, none, none, none, none
+        return nothing
     key, row = key[at], rows[at]
     first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]))
     n = np.diff(np.concatenate([first, [len(at)]]))
     start = at[first]
-    power, inverse = _powers(len(words))
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * power[: len(words)], out=total[1:], dtype=np.uint64)
-    body = mix((total[start + n + window - 1] - total[start]) * inverse[start] + n.astype(np.uint64)).view(np.int64)
+    body = as_digests(*(range_hashes(words, start, n + window - 1, lane) for lane in (0, 1)))
     return row[first], start, n, key[first], body
 
 
@@ -88,10 +87,10 @@ def segments(docs: DataFrame, window: int, gram: int, id_col: str, text_col: str
                 starts, ends, rows = word_spans(data, off, _WORD)
                 row, start, n, key, body = window_segments(word_hashes(data, starts, ends), rows, window, gram)
                 first = np.searchsorted(rows, np.arange(hi - lo))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array((start - first[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key), pa.array(body)], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array((start - first[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key), body], names)
 
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"doc {kind}, start int, n int, key long, body long")
+    return rows.mapInArrow(run, f"doc {kind}, start int, n int, key long, body binary")
 
 
 def contents(docs: DataFrame, classes: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
@@ -116,9 +115,9 @@ def contents(docs: DataFrame, classes: DataFrame, window: int, id_col: str, text
                         for c, v in zip(out, (i, x["start"], x["n"], x["key"], x["body"], raw[starts[a] : ends[a + x["n"] + window - 2]]), strict=True):
                             c.append(v)
                 ids = batch.column(0).take(pa.array(out[0], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(out[1:], (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names)
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(out[1:], (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True))], names)
 
-    return rows.join(asked, F.col("id") == F.col("doc")).select("id", "t", "asked").mapInArrow(run, f"doc {kind}, start int, n int, key long, body long, words binary")
+    return rows.join(asked, F.col("id") == F.col("doc")).select("id", "t", "asked").mapInArrow(run, f"doc {kind}, start int, n int, key long, body binary, words binary")
 
 
 def shard_matches(docs: list, words: list[bytes], window: int) -> list[list[tuple[int, int]]]:
@@ -133,7 +132,7 @@ def shard_matches(docs: list, words: list[bytes], window: int) -> list[list[tupl
     return out
 
 
-_MATCH = "key long, body long, n int, lo int, hi int"
+_MATCH = "key long, body binary, n int, lo int, hi int"
 
 
 def indexed_matches(content: DataFrame, n_shards: int, window: int) -> DataFrame:
@@ -152,7 +151,7 @@ def indexed_matches(content: DataFrame, n_shards: int, window: int) -> DataFrame
 def hot_matches(content: DataFrame, window: int) -> DataFrame:
     """The same for classes of hot keys, window by window with its own hash as key."""
     kind = content.schema["doc"].dataType.simpleString()
-    names = ["doc", "key", "body", "n", "lo", "w", "w2"]
+    names = ["doc", "key", "body", "n", "lo", "w"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,16 +160,16 @@ def hot_matches(content: DataFrame, window: int) -> DataFrame:
                 words = word_hashes(data, starts, ends)
                 if len(words) < window:
                     continue
-                h, h2 = gram_hashes(words, window).view(np.int64), gram_hashes(mix(words), window).view(np.int64)
-                at = np.flatnonzero(rows[: len(h)] == rows[window - 1 :])
+                h = [gram_hashes(words, window, lane) for lane in (0, 1)]
+                at = np.flatnonzero(rows[: len(rows) - window + 1] == rows[window - 1 :])
                 row = rows[at]
                 part = batch.slice(lo, hi - lo).take(pa.array(row))
                 place = at - np.searchsorted(rows, row)
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(place.astype(np.int32)), pa.array(h[at]), pa.array(h2[at])], names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(place.astype(np.int32)), as_digests(h[0][at], h[1][at])], names)
 
-    windows = content.select("doc", "key", "body", "n", "words").mapInArrow(run, f"doc {kind}, key long, body long, n int, lo int, w long, w2 long")
-    least = windows.groupBy("w", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("w", "w2", "least")
-    hit = windows.join(least, ["w", "w2"]).where(F.col("doc") > F.col("least"))
+    windows = content.select("doc", "key", "body", "n", "words").mapInArrow(run, f"doc {kind}, key long, body binary, n int, lo int, w binary")
+    least = windows.groupBy("w").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("w", "least")
+    hit = windows.join(least, "w").where(F.col("doc") > F.col("least"))
     return hit.select("key", "body", "n", "lo", (F.col("lo") + 1).alias("hi")).distinct()
 
 
@@ -185,8 +184,8 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     classes = scratch.save(classes)
     # a key with one class has no other class to be searched in
     per_key = scratch.save(classes.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.col("n") + window - 1).alias("words")).where("c > 1"))
-    cold = per_key.where(F.col("c") <= HOT_CLASSES)
-    hot = per_key.where(F.col("c") > HOT_CLASSES)
+    cold = per_key.where(F.col("words") <= HOT_WORDS)
+    hot = per_key.where(F.col("words") > HOT_WORDS)
     total = cold.agg(F.sum("words")).first()[0] or 0
     matches = docs.sparkSession.createDataFrame([], _MATCH)
     if total:
