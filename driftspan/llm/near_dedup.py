@@ -2,34 +2,37 @@
 
 1. Each text's distinct word shingles are hashed once; the k smallest hashes are its sketch.
    Texts with equal shingle sets become one class, so copies cost one row from here on.
-2. Inverted lists of retained values generate overlaps. A value that more than LONG_LIST
-   classes retain is frequent. A class lists its rare values only: its first KEYS of them, or
-   all if many of its values are frequent; so the lists are short and their pairs few. Pairs
-   need similar set sizes and at least two shared keys.
-3. Classes that consist mostly of frequent values (large groups of near copies) are also
-   linked along the lists of frequent values: each member with one hub of the list, not with
-   each other; then each list's members outside its largest component with its other members,
-   but only if their exact distances to the hubs leave room for a link (Jaccard distance is a
-   metric, so the differences of distances to a hub bound the distance from below) and their
-   union sketch passes.
-4. The union sketch of a pair estimates its similarity; pairs far below the threshold go.
-5. The exact Jaccard coefficient of the full sets confirms each link.
-6. Links are contracted to components with tables in the shared folder; nothing is collected.
-
-What a link can be lost by: a pair at the threshold keeps each of the union's smallest values
-with probability 0.8, so its sketches miss each other with probability under 1e-6.
+2. Inverted lists of retained values generate overlaps. Linked sketches share LEAST values at
+   least (all but a fifth, if the sketch is the whole set), so a class is listed only under its
+   rarest values: so many that any such partner is listed under one of them too. Values that no
+   other class retains count, but have no list; most classes have none but these.
+3. Members of a short list are paired with each other. Members of a long list are paired with a
+   hub of it, in HUB_TURNS turns; from the second on the hub is of the list's largest component
+   and only members outside it are paired. So a group of near copies costs its size, not its square.
+4. Members outside, and all in whose lists they are, are then compared by whole sets: each is
+   listed under its rarest shingles among these classes, so many that any partner is listed
+   under one of them too, by size. Two meet only where the shingles left from there on can still
+   reach the threshold, and only if their components differ. This step loses no link.
+5. The union sketch of a pair estimates its similarity; pairs far below the threshold go.
+6. The exact Jaccard coefficient of the full sets confirms each link.
+7. Links are contracted to components with tables in the shared folder; nothing is collected.
+
+What a link can be lost by: of the union's 64 smallest values a linked pair shares each with
+probability 0.8 at least, and LEAST of them or the pair is lost: that fails once in 30 million
+(in the sets of over 51 shingles; smaller ones are compared whole). Shingles are compared by
+64-bit hashes from random tables, so two shingles of a pair are confused once in 2**64.
 
 Defined cases: null text and text without words have an empty set, linked with nothing; texts
 of fewer words than a shingle have one shingle, their whole sequence; a row with a null id is
 linked to its equals but represents none that have an id; rows that repeat an id are one
-document; an empty table gives an empty result; other columns are ignored.
+document, linked by any of its texts; a very long text is one set; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,17 +46,20 @@ SHINGLE = 5
 CONTRACT_SHINGLE = 4
 #: A pair is linked if 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Values of a sketch, and of them those that a class lists while few of its values are frequent.
-SKETCH, KEYS = 64, 16
-#: A value that more classes retain is frequent.
-LONG_LIST = 64
-#: Shares of frequent values: above SOME a class lists all its rare values, from MOSTLY on it is linked along frequent ones.
-#: Linked sets that share at most one rare value are mostly frequent: 3 of 5 shingles at least (4 common ones of 5).
-SOME, MOSTLY = 0.2, 0.6
-#: Frequent values along which a class is compared at the end.
-LAST_KEYS = 10
+#: Values of a sketch.
+SKETCH = 64
+#: Of the union's smallest values so many are shared by a linked pair at least; a linked partner of a set of up to WHOLE shingles has a whole sketch, too.
+LEAST = 33
+WHOLE = SKETCH * PERCENT // 100
+#: Members of a list that are paired with each other; a longer list has hubs.
+SHORT_LIST = 16
+HUB_TURNS = 3
+#: Sets are listed by size, in steps of this ratio.
+SIZE_STEP = 1.05
 #: Estimates this far below the threshold are believed (six standard deviations).
 MARGIN = 0.3
+#: Links that one union-find of components() holds.
+LINKS_TOGETHER = 200_000
 #: Ids that are broadcast at most, to read the texts of pairs without a shuffle of all texts.
 BROADCAST_IDS = 500_000
 _WORD = ~byte_class(SPACE_BYTES)
@@ -76,6 +82,10 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.int64)
 
 
+def set_digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _long_lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
@@ -90,7 +100,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_
             n, digest, sketch = [], [], []
             for s in shingle_sets(batch.column(1), size):
                 n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                digest.append(set_digest(s))
                 sketch.append(s[:SKETCH])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _long_lists(sketch)], ["id", "n", "digest", "sketch"])
 
@@ -99,7 +109,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, items) of the documents in ids (one column, id), one row an id; ids is a stored table."""
+    """(id, digest, items) of the documents in ids (one column, id); ids is a stored table."""
     kind = docs.schema[id_col].dataType.simpleString()
     wanted = ids.select(F.col("id").alias("wanted"))
     if wanted.count() <= BROADCAST_IDS:
@@ -108,9 +118,10 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int = SHINGLE, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _long_lists([*shingle_sets(batch.column(1), size)])], ["id", "items"])
+            sets = [*shingle_sets(batch.column(1), size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_digest(s) for s in sets], pa.binary()), _long_lists(sets)], ["id", "digest", "items"])
 
-    return rows.mapInArrow(run, f"id {kind}, items array<long>")
+    return rows.mapInArrow(run, f"id {kind}, digest binary, items array<long>")
 
 
 def similar_sizes(a: Column, b: Column) -> Column:
@@ -125,23 +136,58 @@ def estimate_passes(a: Column, b: Column) -> Column:
     return both >= F.size(union) * F.lit(PERCENT / 100 - MARGIN)
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that connect the same nodes, each node's with the smallest of those it is known to be connected with."""
+    parent: dict = {}
+
+    def root(x):
+        top = x
+        while (up := parent.get(top, top)) != top:
+            top = up
+        while x != top:
+            parent[x], x = top, parent.get(x, x)
+        return top
+
+    def stars(kind: pa.DataType) -> pa.RecordBatch:
+        nodes = [x for x in parent if root(x) != x]
+        out = pa.RecordBatch.from_arrays([pa.array([root(x) for x in nodes], kind), pa.array(nodes, kind)], ["a", "b"])
+        parent.clear()
+        return out
+
+    seen, kind = 0, None
+    for batch in batches:
+        kind = batch.column(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        seen += batch.num_rows
+        if seen >= LINKS_TOGETHER:
+            yield stars(kind)
+            seen = 0
+    if seen:
+        yield stars(kind)
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame | None:
     """(node, comp) of every node of edges (a, b): the smallest node that it is connected with. None without edges.
 
-    Every node that has a smaller neighbour is contracted into its smallest one; the pointers,
-    which always descend, are followed to their ends by doubling, and the links between the
-    ends are contracted again until none is left. A hub's links are one key of partial
-    aggregates, and one side of joins between stored tables that Spark can split.
+    Links are first thinned out where they lie, by union-find over so many at a time. Then every
+    node that has a smaller neighbour is contracted into its smallest one; the pointers, which
+    always descend, are followed to their ends by doubling, and the links between the ends are
+    contracted again until none is left. A hub's links are one key of partial aggregates, and one
+    side of joins between stored tables that Spark can split.
     """
-    edges = scratch.save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    schema = ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in "ab")
+    ordered = lambda e: e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = scratch.save(ordered(edges).mapInArrow(_forest, schema).distinct())
     found: DataFrame | None = None
-    while edges.limit(1).count():
-        down = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("comp"))
-        down = scratch.save(down)
+    while not edges.isEmpty():
+        down = scratch.save(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("comp")))
         while True:
             up = down.select(F.col("node").alias("via"), F.col("comp").alias("end"))
             down = scratch.save(down.join(up, F.col("comp") == F.col("via"), "left").select("node", F.coalesce("end", "comp").alias("comp"), F.col("end").isNotNull().alias("moved")))
-            if not down.where("moved").limit(1).count():
+            if down.where("moved").isEmpty():
                 break
             down = down.drop("moved")
         down = down.select("node", "comp")
@@ -153,123 +199,118 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame | None:
             found = scratch.save(moved.unionByName(down))
         left = edges.join(ends, F.col("a") == F.col("via"), "left").select(F.coalesce("end", "a").alias("a"), "b")
         left = left.join(ends, F.col("b") == F.col("via"), "left").select("a", F.coalesce("end", "b").alias("b"))
-        edges = scratch.save(left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        edges = scratch.save(ordered(left).mapInArrow(_forest, schema).distinct())
     if found is None:
         return None
     roots = found.select(F.col("comp").alias("node")).distinct().withColumn("comp", F.col("node"))
     return scratch.save(found.unionByName(roots))
 
 
+def _fewest(n: Column) -> Column:
+    """Of a set of n shingles, how many a linked one shares at least."""
+    return F.floor((n * PERCENT + 99) / 100)
+
+
+def _reaches(common: Column, n: Column, m: Column) -> Column:
+    """Whether so many common shingles link sets of n and m: 100 * common >= PERCENT * (n + m - common)."""
+    return (100 + PERCENT) * common >= PERCENT * (n + m)
+
+
 class _Linker:
-    """The stages between classes and links. classes: (rep, n, digest, sketch), a stored table."""
+    """The stages between classes and links. classes: (rep, n, sketch), a stored table."""
 
     def __init__(self, scratch: Scratch, docs: DataFrame, classes: DataFrame, size: int, id_col: str, text_col: str):
         self.scratch, self.docs, self.classes = scratch, docs, classes
         self.size, self.id_col, self.text_col = size, id_col, text_col
 
     def lists(self) -> None:
-        """keys: (rep, n, v) of rare values; hot: (rep, n, v, r) of frequent values of classes that mostly consist of them."""
-        entries = self.classes.select("rep", F.posexplode("sketch").alias("r", "v"))
+        """keys: (v, rep, n, m) of each class's rarest values that others list, too; m is the list's length. sets: (id, digest, items) of these classes."""
+        entries = self.classes.select("rep", "n", F.explode("sketch").alias("v"))
         counts = entries.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-        shared = entries.join(counts, "v").groupBy("rep").agg(F.collect_list(F.struct("r", "v", (F.col("c") > LONG_LIST).alias("hot"))).alias("e"))  # at most SKETCH a class
-        sized = self.classes.select(F.col("rep").alias("id"), "n", F.size("sketch").alias("k"))
-        shared = shared.join(sized, F.col("rep") == F.col("id"))
-        share = F.size(F.filter("e", lambda x: x["hot"])) / F.col("k")
-        shared = self.scratch.save(shared.select("rep", "n", "e", share.alias("share")), release=True)
-        hot_ranks = F.transform(F.filter("e", lambda x: x["hot"]), lambda x: x["r"])
-        limit = F.when(F.col("share") <= SOME, KEYS).otherwise(SKETCH)
-        ranked = shared.select("rep", "n", "e", limit.alias("most"), hot_ranks.alias("hot_ranks"))
-        rare = F.filter("e", lambda x: ~x["hot"] & (x["r"] - F.size(F.filter("hot_ranks", lambda q: q < x["r"])) < F.col("most")))
-        self.keys = self.scratch.save(ranked.select("rep", "n", F.explode(F.transform(rare, lambda x: x["v"])).alias("v")))
-        hot = F.filter("e", lambda x: x["hot"] & (x["r"] < KEYS))
-        self.hot = self.scratch.save(shared.where(F.col("share") >= MOSTLY).select("rep", "n", F.explode(hot).alias("x")).select("rep", "n", "x.v", "x.r"))
-
-    def estimated(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose union sketches pass."""
-        one = self.classes.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
-        two = self.classes.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
-        return pairs.join(one, "a").join(two, "b").where(estimate_passes(F.col("sa"), F.col("sb"))).select("a", "b")
-
-    def rare_pairs(self) -> DataFrame:
-        x = self.keys.select("v", F.col("rep").alias("a"), F.col("n").alias("na"))
-        y = self.keys.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"))
-        pairs = x.join(y, "v").where((F.col("a") < F.col("b")) & similar_sizes(F.col("na"), F.col("nb")))
-        return self.scratch.save(self.estimated(pairs.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b")))
-
-    def hub_pairs(self, comps: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
-        """(hubs (v, hub), pairs (a, b)): every member of a list of frequent values with the list's hub.
-
-        The hub is a member of the list's largest known component, drawn by a hash of turn.
-        """
-        members = self._with_comps(comps)
-        sizes = members.groupBy("v", "comp").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n")).alias("first"))
-        hubs = sizes.groupBy("v").agg(F.max(F.struct("size", F.col("first.h").alias("h"), F.col("first.rep").alias("hub"), F.col("first.n").alias("hub_n"), "comp")).alias("x"))
-        hubs = self.scratch.save(hubs.select("v", "x.hub", "x.hub_n", F.col("x.comp").alias("hub_comp")))
-        pairs = members.join(hubs, "v").where((F.col("rep") != F.col("hub")) & (F.lit(turn == 0) | (F.col("comp") != F.col("hub_comp"))) & similar_sizes(F.col("n"), F.col("hub_n")))
-        return hubs, pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-
-    def _with_comps(self, comps: DataFrame | None) -> DataFrame:
-        if comps is None:
-            return self.hot.withColumn("comp", F.col("rep"))
-        known = comps.select(F.col("node").alias("of"), "comp")
-        return self.hot.join(known, F.col("rep") == F.col("of"), "left").select("rep", "n", "v", "r", F.coalesce("comp", "rep").alias("comp"))
-
-    def last_pairs(self, comps: DataFrame | None, hubs: list[DataFrame], tested: DataFrame) -> DataFrame:
-        """Members outside a list's largest component with its other members, unless exact distances to a hub exclude a link."""
-        members = self._with_comps(comps).where(F.col("r") < LAST_KEYS)
-        both = tested.select(F.col("a").alias("p"), F.col("b").alias("q"), "distance").unionByName(tested.select(F.col("b").alias("p"), F.col("a").alias("q"), "distance"))
-        for k, h in enumerate(hubs):
-            members = members.join(h.select("v", F.col("hub").alias(f"hub{k}")), "v")
-            members = members.join(both.select(F.col("p").alias("rep"), F.col("q").alias(f"hub{k}"), F.col("distance").alias("d")), ["rep", f"hub{k}"], "left")
-            members = members.withColumn(f"d{k}", F.when(F.col("rep") == F.col(f"hub{k}"), 0.0).otherwise(F.col("d"))).drop("d", f"hub{k}")
-        # each member with its own lists and sketch, so a pair meets once and unlikely pairs are never made
-        own = members.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("r", "v"))).alias("e"))  # LAST_KEYS entries at most
-        own = own.select(F.col("rep").alias("of"), F.transform("e", lambda x: x["v"]).alias("lists")).join(self.classes.select(F.col("rep").alias("of2"), "sketch"), F.col("of") == F.col("of2")).drop("of2")
-        members = self.scratch.save(members.join(own, F.col("rep") == F.col("of")).drop("of"))
-        largest = members.groupBy("v", "comp").agg(F.count("*").alias("size")).groupBy("v").agg(F.max(F.struct("size", "comp")).alias("x")).select("v", F.col("x.comp").alias("largest"))
-        outside = members.join(largest, "v").where("comp <> largest").drop("largest")
-        y = members.select("v", *(F.col(c).alias(f"y_{c}") for c in members.columns if c != "v"))
-        room = [F.coalesce(F.abs(F.col(f"d{k}") - F.col(f"y_d{k}")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True)) for k in range(len(hubs))]
-        possible = (F.col("comp") != F.col("y_comp")) & similar_sizes(F.col("n"), F.col("y_n")) & reduce(lambda p, q: p & q, room)
-        outside, y = outside.withColumnRenamed("v", "x_v"), y.withColumnRenamed("v", "y_v")
-        near = outside.join(y, (F.col("x_v") == F.col("y_v")) & possible & (F.element_at(F.array_intersect("lists", "y_lists"), 1) == F.col("x_v")) & estimate_passes(F.col("sketch"), F.col("y_sketch")))
-        pairs = near.select(F.least("rep", "y_rep").alias("a"), F.greatest("rep", "y_rep").alias("b")).distinct()
-        return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-
-    def read_sets(self, *pairs: DataFrame) -> None:
-        ids = [p.select(F.col(c).alias("id")) for p in pairs for c in ("a", "b")] + [self.hot.select(F.col("rep").alias("id"))]
-        ids = self.scratch.save(reduce(DataFrame.unionByName, ids).distinct())
+        shared = entries.join(counts, "v").groupBy("rep", "n").agg(F.collect_list(F.struct("c", "v")).alias("e"))  # at most SKETCH a class
+        need = F.when(F.col("n") <= WHOLE, _fewest(F.col("n"))).otherwise(LEAST).cast("int")
+        shared = shared.where(F.size("e") >= need)
+        rarest = F.slice(F.array_sort("e"), F.lit(1), F.size("e") - need + 1)
+        listed = self.scratch.save(shared.select("rep", "n", F.explode(F.transform(rarest, lambda x: x["v"])).alias("v")), release=True)
+        lengths = listed.groupBy("v").agg(F.count("*").alias("m")).where("m > 1")
+        self.keys = self.scratch.save(listed.join(lengths, "v"))
+        self.scratch.drop(listed)
+        ids = self.scratch.save(self.keys.select(F.col("rep").alias("id")).distinct())
         sets = full_sets(self.docs, ids, self.size, self.id_col, self.text_col)
-        self.sets = self.scratch.save(sets.dropDuplicates(["id"]))
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, common, union, distance) of pairs by their full sets, a stored table."""
+        self.sets = self.scratch.save(sets.dropDuplicates(["id", "digest"]))
+        self.long = self.keys.where(F.col("m") > SHORT_LIST).select("v", "rep", "n")
+
+    def short_pairs(self) -> DataFrame:
+        """The pairs (a, b) of short lists."""
+        short = self.keys.where(F.col("m") <= SHORT_LIST)
+        x = short.select("v", F.col("rep").alias("a"), F.col("n").alias("na"))
+        y = short.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"))
+        return x.join(y, "v").where((F.col("a") < F.col("b")) & similar_sizes(F.col("na"), F.col("nb"))).select("a", "b")
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose union sketches pass and whose full sets are similar, a stored table."""
         one = self.sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
         two = self.sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-        common = F.size(F.array_intersect("x", "y")).cast("long")
-        out = pairs.join(one, "a").join(two, "b").select("a", "b", common.alias("common"), (F.size("x") + F.size("y") - common).alias("union"))
-        return self.scratch.save(out.withColumn("distance", 1 - F.col("common") / F.col("union")))
+        both = pairs.distinct().join(one, "a").join(two, "b")
+        both = both.where(estimate_passes(F.slice("x", 1, SKETCH), F.slice("y", 1, SKETCH)))
+        return self.scratch.save(both.where(_reaches(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"))
+
+    def placed(self, comps: DataFrame | None) -> DataFrame:
+        """(v, rep, n, comp) of the members of long lists."""
+        if comps is None:
+            return self.long.withColumn("comp", F.col("rep"))
+        known = comps.select(F.col("node").alias("of"), "comp")
+        return self.long.join(known, F.col("rep") == F.col("of"), "left").select("v", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+
+    def hub_pairs(self, members: DataFrame, turn: int) -> DataFrame:
+        """(a, b): members of long lists outside a list's largest component with one member of it, drawn by a hash; in turn 0 all with a hub."""
+        draw = F.min(F.struct(F.xxhash64("rep", "v", F.lit(turn)).alias("h"), F.col("rep").alias("hub"), F.col("n").alias("hub_n")))
+        if turn == 0:
+            hubs = members.groupBy("v").agg(draw.alias("x")).select("v", "x.hub", "x.hub_n")
+            pairs = members.join(hubs, "v")
+        else:
+            by_comp = members.groupBy("v", "comp").agg(F.count("*").alias("size"), draw.alias("x"))
+            hubs = by_comp.groupBy("v").agg(F.max_by(F.struct("x", "comp"), F.struct("size", "comp")).alias("y"))
+            hubs = hubs.select("v", "y.x.hub", "y.x.hub_n", F.col("y.comp").alias("hub_comp"))
+            pairs = members.join(hubs, "v").where("comp <> hub_comp")
+        pairs = pairs.where((F.col("rep") != F.col("hub")) & similar_sizes(F.col("n"), F.col("hub_n")))
+        return pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+
+    def rest_pairs(self, members: DataFrame) -> DataFrame:
+        """(a, b): all pairs of members of long lists with several components that can still be linked, by whole sets."""
+        sizes = members.groupBy("v", "comp").agg(F.count("*").alias("size"))
+        lists = sizes.groupBy("v").agg(F.max(F.struct("size", "comp")).alias("x"), F.count("*").alias("comps")).where("comps > 1").select("v", F.col("x.comp").alias("largest"))
+        active = members.join(lists, "v").groupBy("rep", "n", "comp").agg(F.max(F.col("comp") != F.col("largest")).alias("outside"))
+        active = self.scratch.save(active)
+        items = active.join(self.sets, (F.col("rep") == F.col("id")) & (F.col("n") == F.size("items"))).select("rep", "n", "digest", F.explode("items").alias("item"))
+        shared = items.groupBy("item").agg(F.count("*").alias("c")).where("c > 1")
+        own = items.join(shared, "item").groupBy("rep", "n", "digest").agg(F.array_sort(F.collect_list(F.struct("c", "item"))).alias("e"))  # one class's shingles
+        # a shingle's place among the set's by rarity, those of this class alone coming first
+        ranked = own.select("rep", "n", (F.col("n") - F.size("e")).alias("alone"), F.posexplode(F.slice("e", F.lit(1), F.greatest(F.size("e") - _fewest(F.col("n")).cast("int") + 1, F.lit(0)))).alias("k", "x"))
+        ranked = ranked.select("rep", "n", "x.item", (F.col("n") - F.col("alone") - F.col("k")).alias("left"))  # shingles from this one on
+        ranked = self.scratch.save(ranked.join(active.select(F.col("rep").alias("of"), "comp", "outside"), F.col("rep") == F.col("of")).drop("of"))
+        step = lambda n: F.floor(F.log(n) / F.log(F.lit(SIZE_STEP)) + 1e-9)
+        listed = ranked.select("item", step(F.col("n")).alias("size"), F.col("rep").alias("y"), F.col("n").alias("y_n"), F.col("left").alias("y_left"), F.col("comp").alias("y_comp"))
+        least, most = F.floor(F.col("n") * PERCENT / 100), F.floor(F.col("n") * 100 / PERCENT)
+        probes = ranked.where("outside").withColumn("size", F.explode(F.sequence(step(F.greatest(least, F.lit(1))), step(most))))
+        smallest = F.greatest(F.floor(F.pow(F.lit(SIZE_STEP), F.col("size")) - 1e-6), least)  # of this size step
+        probes = probes.where(_reaches(F.col("left"), F.col("n"), smallest))
+        near = probes.join(listed, ["item", "size"]).where(
+            (F.col("comp") != F.col("y_comp")) & similar_sizes(F.col("n"), F.col("y_n")) & _reaches(F.least("left", "y_left"), F.col("n"), F.col("y_n"))
+        )
+        return near.select(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b"))
 
     def links(self) -> DataFrame | None:
         """(node, comp) of all classes that are linked with another; None if none is."""
         self.lists()
-        rare = self.rare_pairs()
-        has_hot = self.hot.limit(1).count() > 0
-        self.read_sets(rare)
-        linked = F.expr(f"100 * common >= {PERCENT} * union")
-        tested = self.verified(rare)
-        comps = components(self.scratch, tested.where(linked).select("a", "b"))
-        if not has_hot:
-            return comps
-        hubs = []
-        for turn in range(2):
-            h, pairs = self.hub_pairs(comps, turn)
-            hubs.append(h)
-            new = self.verified(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-            tested = tested.unionByName(new)
-            comps = components(self.scratch, tested.where(linked).select("a", "b"))
-        last = self.verified(self.scratch.save(self.last_pairs(comps, hubs, tested)))
-        return components(self.scratch, tested.unionByName(last).where(linked).select("a", "b"))
+        if self.long.isEmpty():
+            return components(self.scratch, self.linked(self.short_pairs()))
+        links = self.linked(self.short_pairs().unionByName(self.hub_pairs(self.placed(None), 0)))
+        for turn in range(1, HUB_TURNS):
+            comps = components(self.scratch, links)
+            links = links.unionByName(self.linked(self.hub_pairs(self.scratch.save(self.placed(comps)), turn)))
+        members = self.scratch.save(self.placed(components(self.scratch, links)))
+        return components(self.scratch, links.unionByName(self.linked(self.rest_pairs(members))))
 
 
 def near_dedup(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,8 +319,7 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", tex
     rows = scratch.save(sketches(docs, size, id_col, text_col), release=True)
     classes = rows.where("n > 0").groupBy("n", "digest").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = scratch.save(classes)
-    linker = _Linker(scratch, docs, classes.where("rep IS NOT NULL").select("rep", "n", "sketch"), size, id_col, text_col)
-    comps = linker.links()
+    comps = _Linker(scratch, docs, classes.where("rep IS NOT NULL").select("rep", "n", "sketch"), size, id_col, text_col).links()
     named = classes.select("n", "digest", "rep")
     if comps is None:
         named = named.withColumn("comp", F.col("rep"))

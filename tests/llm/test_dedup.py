@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftspan.llm import near_dedup
-from driftspan.llm.common import FOLD, Scratch
+from driftspan.llm.common import FOLD, Scratch, gram_hashes, range_hashes
 from driftspan.llm.exact_dedup import exact_dedup
 from driftspan.llm.near_dedup import components
 from driftspan.llm.substring_dedup import shard_matches, substring_dedup
@@ -61,8 +61,8 @@ def test_near(spark, size):
 
 
 def test_near_large_groups(spark, monkeypatch):
-    """Values that many classes share: hubs and the last comparison must find what all pairs would."""
-    monkeypatch.setattr(near_dedup, "LONG_LIST", 4)
+    """Values that many classes share: hubs and the comparison of the rest must find what all pairs would."""
+    monkeypatch.setattr(near_dedup, "SHORT_LIST", 3)
     r = random.Random(5)
     rows, n = [], 0
     for family in range(3):
@@ -89,6 +89,63 @@ def test_near_short_texts_with_a_frequent_beginning(spark, size):
     assert got[71] == (4, 70)
 
 
+def test_near_pairs_of_short_texts_along_a_frequent_beginning(spark):
+    """Sets of 5 and 4 shingles at a similarity of exactly 0.8, whose beginning all share."""
+    start = "one two three four five six"
+    texts = [t for i in range(100) for t in (f"{start} x{i}", f"{start} x{i} y{i}")]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)], False), 4).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(dict(enumerate(texts)), 4).items()}
+    assert all(got[2 * i] == got[2 * i + 1] for i in range(100))
+
+
+@pytest.mark.parametrize(("seed", "turns"), [(1, 3), (2, 1), (3, 1)])
+def test_near_tiny_sets_with_many_sharers(spark, monkeypatch, seed, turns):
+    """Texts of 1 to 15 words with few different ones: every list has many members."""
+    monkeypatch.setattr(near_dedup, "SHORT_LIST", 2)
+    monkeypatch.setattr(near_dedup, "HUB_TURNS", turns)
+    r = random.Random(seed)
+    base = [words(r, 15, 40) for _ in range(4)]
+    texts = []
+    for _ in range(260):
+        t = list(r.choice(base))[: r.randint(1, 15)]
+        for _ in range(r.choice([0, 0, 0, 1, 1, 2])):
+            t[r.randrange(len(t))] = f"w{r.randrange(40)}"
+        texts.append(t)
+    rows = [(i, " ".join(t), None, None, 0) for i, t in enumerate(texts)]
+    for size in (2, 4):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_dedup(frame(spark, rows, False), size).collect()}
+        assert got == brute_components({x[0]: x[1] for x in rows}, size)
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_fool_polynomial_hashes(spark):
+    """A Thue-Morse word and its complement, and sequences of two words in that order, are told apart."""
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    sequence = [["left" if c == "a" else "right" for c in t] for t in (one, other)]
+    texts = [" ".join([one] * 60), " ".join([other] * 60), " ".join([one]), other, *(" ".join(s[:64]) for s in sequence)]
+    rows = [(i, t, None, None, 0) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in near_dedup.near_dedup(frame(spark, rows, False), 4).collect()}
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(dict(enumerate(texts)), 4)
+    cut = substring_dedup(frame(spark, rows, False)).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in cut) == brute_substring(rows, 50)
+
+
+def test_range_hashes_equal_gram_hashes():
+    h = np.random.default_rng(1).integers(0, 1 << 63, 400).astype(np.uint64)
+    starts, sizes = np.arange(0, 200), np.arange(1, 201)
+    for lane in (0, 1):
+        got = range_hashes(h, starts, sizes, lane)
+        assert len(set(got.tolist())) == 200
+        shifted = np.concatenate([h[:7], h])
+        assert (range_hashes(shifted, starts + 7, sizes, lane) == got).all()
+    assert (gram_hashes(h, 50)[3:10] == gram_hashes(h[3:59], 50)).all()
+    assert len(gram_hashes(h, 400)) == 1 and not len(gram_hashes(h, 401))
+
+
 def test_near_empty(spark):
     assert near_dedup.near_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -132,11 +189,11 @@ def brute_substring(rows, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
+@pytest.mark.parametrize("hot", [150_000, 1])
 def test_substring(spark, monkeypatch, hot):
     from driftspan.llm import substring_dedup as module
 
-    monkeypatch.setattr(module, "HOT_CLASSES", hot)
+    monkeypatch.setattr(module, "HOT_WORDS", hot)
     rows = corpus()
     got = substring_dedup(frame(spark, rows)).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in got) == brute_substring(rows, 50)
