@@ -1,16 +1,17 @@
 """Best-fit packing with lower-bound certificates.
 
 Texts are tokenised once; only texts over the capacity are cut. Pieces shorter than the
-capacity are dealt into partitions of bounded size, each packed by best-fit decreasing.
+capacity are dealt into partitions of about TASK_PIECES, each packed by best-fit decreasing.
 Lower bounds from dual feasible functions say how many bins a partition needs at least: a
 partition at its bound is certified and only its least filled bin is worth reopening; one
-above its bound has gaps and reopens its emptiest bins. The pieces of reopened bins of all
-partitions are exchanged (dealt anew into fewer partitions) and packed again, until one
-partition holds the rest.
-
-Defined cases: null or empty text is the one piece that holds the end id alone; an empty
-table gives an empty result; repeated rows are packed each for itself; other columns of the
-input are ignored, whatever their names.
+above its bound has gaps and reopens the emptier half of its bins. The pieces of reopened bins of
+all partitions are exchanged (dealt anew into fewer partitions) and packed again, until one
+partition holds the rest. Each piece tells its partition's bins and bound, the certificate.
+
+Defined cases: null or empty text is the one piece that holds the end id alone; a very long text
+is cut into pieces; of texts with one length any may be packed first; an empty table gives an
+empty result; repeated rows are packed each for itself and are dealt like all others; other
+columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +31,10 @@ from driftspan.llm.common import Scratch, read_table
 
 CAPACITY = 4096
 END_ID = 1
-#: Pieces that one packing task takes.
+#: Pieces that one packing task takes, about.
 TASK_PIECES = 50_000
-#: Bins that a partition above its bound reopens at most, besides as many as it is above the bound.
-REOPENED = 48
+#: Bits of a sequence's number that hold its bin; those above hold the partition. A partition never has so many pieces.
+BIN_BITS = 32
 #: Texts whose new words are looked up together, and runs of letters that are encoded in one call.
 TEXTS, TOGETHER = 64, 1024
 #: Distinct words whose ids a process remembers.
@@ -131,12 +132,15 @@ def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int, int]]:
     return [(k, k * capacity, len(b) // 4, zlib.crc32(b)) for k, b in enumerate(ids[i : i + step] for i in range(0, max(len(ids), 1), step))]
 
 
-def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every row; vocabulary is a tokenizer file on the driver."""
-    spark = docs.sparkSession
+def read_vocabulary(spark: SparkSession, vocabulary: str) -> Broadcast:
+    """A tokenizer file on the driver, for the executors."""
     with open(vocabulary, encoding="utf-8") as f:
-        spec = spark.sparkContext.broadcast(f.read())  # bounded by the vocabulary, not by the data
-    key, end = hash(vocabulary), np.array([END_ID], "<u4").tobytes()
+        return spark.sparkContext.broadcast(f.read())  # bounded by the vocabulary, not by the data
+
+
+def tokenised_pieces(docs: DataFrame, spec: Broadcast, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every row; spec is the tokenizer file's text."""
+    key, end = zlib.crc32(spec.value.encode()), np.array([END_ID], "<u4").tobytes()
     kind = docs.schema[id_col].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,35 +213,40 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, room
 
 
-def pack_partition(pdf: pd.DataFrame, capacity: int, last: bool) -> pd.DataFrame:
+def pack_partition(table: pa.Table, capacity: int, last: bool) -> pa.Table:
     """Packs one partition; reopened bins have sequence -1, unless this is the last round."""
-    lengths = pdf["length"].to_numpy()
+    lengths = table["length"].to_numpy()
     bins, offsets, room = best_fit_decreasing(lengths, capacity)
-    gap = len(room) - lower_bound(lengths, capacity)
+    bound = lower_bound(lengths, capacity)
     free = np.array(room)
     opened = np.zeros(len(room), bool)
     if not last:
         emptiest = np.argsort(-free, kind="stable")
-        opened[emptiest[: min(1 if gap == 0 else gap + REOPENED, len(room) // 2)]] = True  # some bins always stay, so rounds end
+        opened[emptiest[: min(1, len(room) // 2) if len(room) == bound else len(room) // 2]] = True  # some bins always stay, so rounds end
         opened &= free > 0
-    return pdf.assign(bin=np.where(opened[bins], -1, bins), offset=np.where(opened[bins], 0, offsets))
+    new = {"bin": np.where(opened[bins], -1, bins), "offset": np.where(opened[bins], 0, offsets), "partition_bins": np.full(len(lengths), len(room)), "partition_bound": np.full(len(lengths), bound)}
+    for name, values in new.items():
+        table = table.append_column(name, pa.array(values, pa.int64()))
+    return table
 
 
-def packer(capacity: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pack_partition(pdf, capacity, last)
+def packer(capacity: int, last: bool) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        return pack_partition(table, capacity, last)
 
     return run
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, task_pieces: int = TASK_PIECES) -> DataFrame:
-    """pieces (any columns, length among them) with sequence_id and offset.
+    """pieces (any columns, length among them) with sequence_id, offset, and bins and lower bound of the sequence's partition.
 
     pieces must be a stored table: it is read once a round. A length over the capacity is an error.
     """
     spark = pieces.sparkSession
     scratch = Scratch(spark, "packing")
     names = pieces.columns
+    certificate = ["partition_bins", "partition_bound"]
+    one = F.lit(1).cast("long")
     full = pieces.where(F.col("length") >= capacity)
     pool = pieces.where(F.col("length") < capacity)
     done: list[DataFrame] = []
@@ -246,25 +255,28 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, task_pieces: int = TASK_PI
         tasks = -(-n // task_pieces)
         last = tasks == 1
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pool.schema if f.name in names)
-        dealt = pool.select(*names, F.pmod(F.xxhash64(*names, F.lit(base)), F.lit(tasks)).cast("int").alias("task"))
-
-        packed = scratch.save(dealt.groupBy("task").applyInPandas(packer(capacity, last), f"{schema}, task int, bin long, offset long"))
-        settled = packed.where("bin >= 0").select(*names, ((F.lit(base).cast("long") + F.col("task")) * task_pieces + F.col("bin")).alias("sequence_id"), "offset")
-        done.append(settled)
+        # a row's place in its stored file deals it, so repeated rows part, and a lost task deals its rows as before
+        dealt = pool.select(*names, F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(base)), F.lit(tasks)).cast("int").alias("task"))
+        packed = scratch.save(dealt.groupBy("task").applyInArrow(packer(capacity, last), f"{schema}, task int, bin long, offset long, partition_bins long, partition_bound long"))
+        number = F.shiftleft(F.lit(base).cast("long") + F.col("task"), BIN_BITS) + F.col("bin")
+        done.append(packed.where("bin >= 0").select(*names, number.alias("sequence_id"), "offset", *certificate))
         base += tasks
         pool = packed.where("bin < 0").select(*names)
         n = pool.count()
-    ids = F.lit(base * task_pieces).cast("long") + F.monotonically_increasing_id()
-    out = full.select(*names, ids.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    ids = F.shiftleft(F.lit(base).cast("long"), BIN_BITS) + F.monotonically_increasing_id()
+    out = full.select(*names, ids.alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *(one.alias(c) for c in certificate))
     for part in done:
         out = out.unionByName(part)
     return out
 
 
 def best_fit_packing(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every row."""
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset, partition_bins, partition_bound) of every piece of every row."""
     scratch = Scratch(docs.sparkSession, "pieces")
-    return pack(scratch.save(tokenised_pieces(docs, vocabulary, capacity, id_col, text_col)), capacity)
+    spec = read_vocabulary(docs.sparkSession, vocabulary)
+    pieces = scratch.save(tokenised_pieces(docs, spec, capacity, id_col, text_col))
+    spec.destroy()
+    return pack(pieces, capacity)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
