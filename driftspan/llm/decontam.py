@@ -1,20 +1,26 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-Every window of an item's normalised words is a pattern of the automaton, which reads each
-normalised text once; matches are mapped back to words and to byte offsets of the original.
-The automaton is made on the executors from the windows, which are broadcast in blocks of a
-checked size: a benchmark beyond one block is matched block by block, with the words hit by
-any block counted once.
-
-Defined cases: a null or empty text has no words and is clean; a null or wordless item has no
-window; repeated items count once by id; an empty benchmark leaves all clean; an empty table
-gives an empty result; other columns of the input are ignored, whatever their names.
+The normalised questions and answers are cut into aligned chunks of half a window, of which any
+window of an item holds one whole. All chunks are patterns of one automaton, which reads each
+normalised text once; where a chunk occurs, the text's and the item's words are compared to
+either side, and a common run of a window's words or more is hit. Matches are mapped back to
+words and to byte offsets of the original. An item shorter than a window is one pattern.
+
+The automaton is made once in each Python worker, from a broadcast block of items of a checked
+size. A benchmark beyond one block is matched in as many passes over the texts, each with an
+automaton of its own; hits are carried along with the rows, so the result is that of one pass.
+
+Defined cases: a null or empty text has no words and is clean; a very long text is one scan; a
+null or wordless item has no window; an item with a null id hits words but is not listed; rows
+that repeat an item's id are one item; items that hold the same words are all listed; an empty
+benchmark leaves all clean; repeated documents are judged alike; an empty table gives an empty
+result; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -22,75 +28,90 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from driftspan.llm.common import FOLD, read_table
+from driftspan.llm.common import FOLD, Scratch, read_table
 
 WINDOW = 13
 #: A document is contaminated if SHARE * hit words >= words.
 SHARE = 20
-#: Bytes of windows in one broadcast block.
+#: Bytes of items in one broadcast block. An automaton takes some 50 bytes for each.
 BLOCK_BYTES = 8_000_000
 #: Maps bytes to normal form one for one: A-Z folded, ASCII that is no letter or digit to a space.
 NORMAL = bytes(FOLD[b] if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 
 
-def item_windows(words: list[bytes], window: int = WINDOW) -> list[bytes]:
-    """All windows of an item's words; a shorter item is one window, one without words none."""
-    if not words:
-        return []
-    return [b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
+Item = tuple[str | None, list[bytes]]
 
 
-def window_blocks(benchmark: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> Iterator[dict[bytes, list[str]]]:
-    """Blocks of {window: item ids as strings}, read item by item, so the driver holds one block."""
-    block: dict[bytes, list[str]] = {}
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[Item]]:
+    """Blocks of (item id as a string, words), read item by item, so the driver holds one block."""
+    block: list[Item] = []
     size = 0
     items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")).where("t IS NOT NULL")
     for item, text in items.toLocalIterator():
-        for w in item_windows(text.encode().translate(NORMAL).split(), window):
-            ids = block.setdefault(w, [])
-            if item not in ids:
-                ids.append(item)
-            size += len(w) + 100
+        words = text.encode().translate(NORMAL).split()
+        if words:
+            block.append((item, words))
+            size += sum(map(len, words)) + len(words)
         if size >= BLOCK_BYTES:
             yield block
-            block, size = {}, 0
+            block, size = [], 0
     if block:
         yield block
 
 
-def make_automaton(windows: dict[bytes, list[str]]) -> ahocorasick.Automaton:
-    """Patterns carry a space at either end, so they match whole words only. Bytes stand as Latin-1 characters."""
-    automaton = ahocorasick.Automaton()
-    for w, items in windows.items():
-        automaton.add_word(f" {w.decode('latin-1')} ", (len(w) + 2, tuple(items)))
-    automaton.make_automaton()
-    return automaton
-
-
-_AUTOMATA: dict[str, ahocorasick.Automaton] = {}
-
-
-def _automaton(block: Broadcast, key: str) -> ahocorasick.Automaton:
-    found = _AUTOMATA.get(key)
+class Matcher:
+    """An automaton over the chunks of items. Patterns carry a space at either end, so they match whole words only."""
+
+    def __init__(self, items: list[Item], window: int):
+        self.items, self.window, self.chunk = items, window, (window + 1) // 2
+        places: dict[bytes, list[tuple[int, int]]] = {}
+        for k, (_, words) in enumerate(items):
+            step = self.chunk if len(words) >= window else len(words)
+            for start in range(0, len(words) - step + 1, step):
+                places.setdefault(b" ".join(words[start : start + step]), []).append((k, start))
+        self.automaton = ahocorasick.Automaton()
+        for pattern, at in places.items():
+            self.automaton.add_word(f" {pattern.decode('latin-1')} ", (len(pattern) + 2, tuple(at)))  # bytes stand as Latin-1 characters
+        self.automaton.make_automaton()
+
+    def __call__(self, words: list[bytes]) -> list[tuple[int, int, str | None]]:
+        """(first word, last word + 1, item) of common runs that hold a window, and of short items."""
+        text = f" {b' '.join(words).decode('latin-1')} "
+        found = [(end + 1 - n, at) for end, (n, at) in self.automaton.iter(text)]
+        if not found:
+            return []
+        spaces = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 0x20)
+        out, compared = [], {}
+        for first, (_, at) in zip(np.searchsorted(spaces, [f[0] for f in found]).tolist(), found, strict=True):
+            for k, start in at:
+                item, own = self.items[k]
+                if len(own) < self.window:
+                    out.append((first, first + len(own), item))
+                elif first >= compared.get((k, first - start), 0):
+                    a, b = first, first + self.chunk
+                    while a > 0 and a - first + start > 0 and words[a - 1] == own[a - first + start - 1]:
+                        a -= 1
+                    while b < len(words) and b - first + start < len(own) and words[b] == own[b - first + start]:
+                        b += 1
+                    compared[k, first - start] = b
+                    if b - a >= self.window:
+                        out.append((a, b, item))
+        return out
+
+
+_MATCHERS: dict[str, Matcher] = {}
+
+
+def _matcher(block: Broadcast, key: str, window: int) -> Matcher:
+    found = _MATCHERS.get(key)
     if found is None:
-        _AUTOMATA.clear()  # one at a time
-        found = _AUTOMATA[key] = make_automaton(block.value)
+        _MATCHERS.clear()  # one at a time: a worker runs one pass
+        found = _MATCHERS[key] = Matcher(block.value, window)
     return found
 
 
-def scan(words: list[bytes], automaton: ahocorasick.Automaton) -> list[tuple[int, int, tuple[str, ...]]]:
-    """(first word, last word + 1, items) of every occurrence of a window."""
-    text = f" {b' '.join(words).decode('latin-1')} "
-    found = [(end + 1 - n, end, items) for end, (n, items) in automaton.iter(text)]
-    if not found:
-        return []
-    spaces = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 0x20)
-    first = np.searchsorted(spaces, [f[0] for f in found])
-    last = np.searchsorted(spaces, [f[1] for f in found])
-    return [(a, b, f[2]) for a, b, f in zip(first.tolist(), last.tolist(), found, strict=True)]
-
-
 def original_spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
     """Byte spans of the original text that the runs of hit words cover; normalising keeps byte places."""
     word = np.frombuffer(text.translate(NORMAL), np.uint8) != 0x20
@@ -100,60 +121,85 @@ def original_spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(starts[a]), int(ends[b - 1])) for a, b in zip(np.flatnonzero(runs == 1), np.flatnonzero(runs == -1), strict=True)]
 
 
-class _Matcher:
-    """What the tasks need: the blocks of windows."""
-
-    def __init__(self, benchmark: DataFrame, window: int):
-        context = benchmark.sparkSession.sparkContext
-        self.blocks = [context.broadcast(b) for b in window_blocks(benchmark, window)]
-        self.run = uuid.uuid4().hex
-
-    def __call__(self, texts: list[bytes]) -> tuple[list[int], dict[int, np.ndarray], dict[int, set[str]]]:
-        """Words of each text; hit words and items of those texts that hold a window."""
-        n_words, hits, items = [0] * len(texts), {}, {}
-        for k, block in enumerate(self.blocks or [None]):
-            automaton = _automaton(block, f"{self.run}-{k}") if block else None
-            for i, t in enumerate(texts):
-                words = t.translate(NORMAL).split()
-                n_words[i] = len(words)
-                for a, b, found in scan(words, automaton) if automaton and words else ():
-                    hits.setdefault(i, np.zeros(len(words), bool))[a:b] = True
-                    items.setdefault(i, set()).update(found)
-        return n_words, hits, items
+#: Words hit so far and items found, between passes.
+_CARRIED = "__hits__ array<struct<a:long,b:long>>, __items__ array<string>"
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, place: int, finish: Callable, schema: StructType) -> DataFrame:
+    """finish(batch of docs, words, hits, items) of all rows; hits and items are of those rows (by number) that hold a window. The text is column `place`."""
+    spark, run = docs.sparkSession, uuid.uuid4().hex
+    blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(benchmark)] or [None]
+    scratch, width = Scratch(spark, "decontamination"), len(docs.columns)
+    between = StructType([*docs.schema.fields, *StructType.fromDDL(_CARRIED).fields])
+
+    def scan(k: int) -> Callable:
+        block, last = blocks[k], k + 1 == len(blocks)
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            match = _matcher(block, f"{run}-{k}", window) if block else None
+            for batch in batches:
+                counts, spans, items = [], {}, {}
+                if k:
+                    spans = {i: [(x["a"], x["b"]) for x in s] for i, s in enumerate(batch.column(width).to_pylist()) if s}
+                    items = {i: set(s) for i, s in enumerate(batch.column(width + 1).to_pylist()) if s}
+                for i, t in enumerate(batch.column(place).cast(pa.binary()).to_pylist()):
+                    words = (t or b"").translate(NORMAL).split()
+                    counts.append(len(words))
+                    for a, b, item in match(words) if match and words else ():
+                        spans.setdefault(i, []).append((a, b))
+                        if item is not None:
+                            items.setdefault(i, set()).add(item)
+                if last:
+                    hits = {i: covered(s, counts[i]) for i, s in spans.items()}
+                    yield finish(pa.RecordBatch.from_arrays(batch.columns[:width], batch.schema.names[:width]), counts, hits, items)
+                else:
+                    n = range(batch.num_rows)
+                    hit = pa.array([[{"a": a, "b": b} for a, b in spans.get(i, ())] for i in n], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+                    found = pa.array([sorted(items.get(i, ())) for i in n], pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:width], hit, found], [*batch.schema.names[:width], "__hits__", "__items__"])
+
+        return step
+
+    for k in range(len(blocks) - 1):
+        docs = scratch.save(docs.mapInArrow(scan(k), between))
+    return docs.mapInArrow(scan(len(blocks) - 1), schema)
+
+
+def covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
+    """Which of n words lie in a span."""
+    out = np.zeros(n, bool)
+    for a, b in spans:
+        out[a:b] = True
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_words, n_hit, items, spans, contaminated) of every row; spans are byte spans of the original text."""
-    matcher = _Matcher(benchmark, window)
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "n_words", "n_hit", "items", "spans"]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            n_words, hits, items = matcher(texts)
-            n_hit = [int(hits[i].sum()) if i in hits else 0 for i in range(len(texts))]
-            spans = [[{"start": a, "end": b} for a, b in original_spans(t, hits[i])] if i in hits else [] for i, t in enumerate(texts)]
-            found = [sorted(items.get(i, ())) for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, span)], names)
-
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    out = rows.mapInArrow(match, f"id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
+    def finish(batch: pa.RecordBatch, counts: list[int], hits: dict[int, np.ndarray], items: dict[int, set[str]]) -> pa.RecordBatch:
+        texts = batch.column(1).cast(pa.binary())
+        n_hit = [int(hits[i].sum()) if i in hits else 0 for i in range(len(counts))]
+        spans = [[{"start": a, "end": b} for a, b in original_spans(texts[i].as_py(), hits[i])] if i in hits else [] for i in range(len(counts))]
+        found = [sorted(items.get(i, ())) for i in range(len(counts))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, span)], names)
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    schema = StructType.fromDDL(f"id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
+    out = _scanned(rows, benchmark, window, 1, finish, schema)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).withColumnRenamed("id", id_col)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that are not contaminated. Nothing is shuffled."""
-    matcher, place = _Matcher(benchmark, window), docs.columns.index(text_col)
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, hits, _ = matcher([t or b"" for t in batch.column(place).cast(pa.binary()).to_pylist()])
-            keep = [not (i in hits and SHARE * int(hits[i].sum()) >= n) for i, n in enumerate(n_words)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    def finish(batch: pa.RecordBatch, counts: list[int], hits: dict[int, np.ndarray], items: dict[int, set[str]]) -> pa.RecordBatch:
+        keep = [not (i in hits and SHARE * int(hits[i].sum()) >= n) for i, n in enumerate(counts)]
+        return batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return _scanned(docs, benchmark, window, docs.columns.index(text_col), finish, docs.schema)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
