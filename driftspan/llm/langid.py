@@ -11,15 +11,19 @@ n-gram counts are summed on the executors over a bounded sample of labelled rows
 a hash of the id); the model is n-gram buckets x languages, whatever
 the input's size. All scoring is vectorised over bytes and, in Viterbi, over texts.
 
-Defined cases: a null text, or one without any letter, is ``und`` with score 0; a text whose
-letters are all of scripts unseen in training is scored by all languages alike; without any
-labelled row all is ``und``; repeated rows get the same prediction; an empty table gives an
-empty result; other columns of the input are ignored, whatever their names.
+Defined cases: a null text, or one without any letter, is ``und`` with score 0; a word whose
+script is unseen in training may be in any language; of languages that hold equally many bytes
+the alphabetically first is taken, as it is of equally good ones of a word; a very long text is
+labelled whole; without any labelled row all is ``und``; repeated rows get the same prediction;
+an empty table gives an empty result; other columns of the input are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,37 +40,77 @@ ORDERS = (1, 2, 3, 4)
 SWITCH = 6.0
 SMOOTHING = 0.5
 UNDETERMINED = "und"
+#: Bytes of word scores that Viterbi takes together, about; a longer single text is taken alone.
+SCORE_BYTES = 1 << 26
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 _FOLD = np.frombuffer(FOLD, np.uint8)
 
 
-def _scripts() -> np.ndarray:
-    """Script number by first byte of a letter's UTF-8 form: -1 for bytes that begin no letter."""
-    out = np.full(256, -1, np.int8)
-    # Lead bytes of the main scripts' blocks
-    ranges = [(0x41, 0x5A, 0), (0x61, 0x7A, 0), (0xC3, 0xCA, 0), (0xCD, 0xCF, 1), (0xD0, 0xD4, 2), (0xD5, 0xD6, 3), (0xD7, 0xD7, 4), (0xD8, 0xDF, 5), (0xE0, 0xE0, 6), (0xE1, 0xE1, 7), (0xE3, 0xE3, 8), (0xE4, 0xE9, 9), (0xEA, 0xED, 10), (0xF0, 0xF0, 11)]
-    for lo, hi, script in ranges:
-        out[lo : hi + 1] = script
+# First and last code points of the scripts' blocks. Letters outside them are of one more script.
+BLOCKS = {
+    "Latin": [(0x41, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB6F), (0xFB00, 0xFB06), (0xFF21, 0xFF5A)],
+    "Greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)],
+    "Cyrillic": [(0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)],
+    "Armenian": [(0x530, 0x58F)],
+    "Hebrew": [(0x590, 0x5FF)],
+    "Arabic": [(0x600, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)],
+    "Devanagari": [(0x900, 0x97F)],
+    "Bengali": [(0x980, 0x9FF)],
+    "Gurmukhi": [(0xA00, 0xA7F)],
+    "Gujarati": [(0xA80, 0xAFF)],
+    "Tamil": [(0xB80, 0xBFF)],
+    "Telugu": [(0xC00, 0xC7F)],
+    "Kannada": [(0xC80, 0xCFF)],
+    "Malayalam": [(0xD00, 0xD7F)],
+    "Sinhala": [(0xD80, 0xDFF)],
+    "Thai": [(0xE00, 0xE7F)],
+    "Georgian": [(0x10A0, 0x10FF)],
+    "Hangul": [(0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF)],
+    "Ethiopic": [(0x1200, 0x139F)],
+    "Khmer": [(0x1780, 0x17FF)],
+    "Kana": [(0x3040, 0x30FF), (0x31F0, 0x31FF)],
+    "Han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)],
+}
+N_SCRIPTS = len(BLOCKS) + 1
+#: Code points from which on no letter is looked for.
+LAST_LETTER = 0x32400
+
+
+@cache
+def scripts() -> np.ndarray:
+    """Script number by code point: -1 for what is neither a letter nor a mark that goes with one."""
+    out = np.full(0x110000, -1, np.int8)
+    points = np.array([c for c in range(LAST_LETTER) if unicodedata.category(chr(c))[0] in "LM"])
+    out[points] = N_SCRIPTS - 1
+    for number, blocks in enumerate(BLOCKS.values()):
+        for lo, hi in blocks:
+            inside = points[(points >= lo) & (points <= hi)]
+            out[inside] = number
     return out
 
 
-SCRIPTS = _scripts()
-N_SCRIPTS = int(SCRIPTS.max()) + 1
-
-
-def letters_only(data: np.ndarray) -> np.ndarray:
-    """Bytes with Latin capitals folded, and all that is no part of a letter as 0."""
+def letters_only(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes with Latin capitals folded and all that is no part of a letter as 0; and the script of the letter that begins at each byte, else -1."""
+    table, n = scripts(), len(data)
+    script = np.full(n, -1, np.int8)
+    plain = data < 0x80
+    script[plain] = table[:0x80][data[plain]]
+    at = np.flatnonzero(data >= 0xC0)
+    if len(at):  # code points of the longer characters
+        lead = data[at].astype(np.int32)
+        follow = [data[np.minimum(at + j, n - 1)].astype(np.int32) & 0x3F for j in (1, 2, 3)]
+        two = (lead & 0x1F) << 6 | follow[0]
+        three = (lead & 0x0F) << 12 | follow[0] << 6 | follow[1]
+        four = (lead & 0x07) << 18 | follow[0] << 12 | follow[1] << 6 | follow[2]
+        script[at] = table[np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, np.minimum(four, 0x10FFFF)))]
     out = _FOLD[data]
-    lead = data >= 0xC0
-    accented = np.zeros(len(data), bool)
+    accented = np.zeros(n, bool)
     accented[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
     out[accented] += 0x20
-    begins = SCRIPTS[data] >= 0
-    ascii_other = (data < 0x80) & ~begins
     # continuation bytes go with their lead byte
-    at = np.maximum.accumulate(np.where(lead | (data < 0x80), np.arange(len(data)), 0))
-    out[ascii_other | ~begins[at]] = 0
-    return out
+    first = np.maximum.accumulate(np.where(plain | (data >= 0xC0), np.arange(n), 0))
+    out[script[first] < 0] = 0
+    return out, script
 
 
 def gram_buckets(letters: np.ndarray) -> list[np.ndarray]:
@@ -84,18 +128,20 @@ def gram_buckets(letters: np.ndarray) -> list[np.ndarray]:
 
 
 def separated(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same rows with a zero byte after each, so no n-gram reaches from one into the next."""
-    n = len(off) - 1
-    out = np.zeros(len(data) + n, np.uint8)
-    out[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(off))] = data
-    return out, off + np.arange(n + 1)
+    """The same rows with zero bytes after each, so many that no n-gram reaches from one into the next."""
+    n, gap = len(off) - 1, max(ORDERS) - 1
+    out = np.zeros(len(data) + n * gap, np.uint8)
+    out[np.arange(len(data)) + np.repeat(np.arange(n) * gap, np.diff(off))] = data
+    return out, off + np.arange(n + 1) * gap
 
 
 def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    letters = letters_only(data)
+    """Letters, words' starts, ends and rows, and the script of each word's first letter."""
+    letters, script = letters_only(data)
     is_word = np.ones(256, bool)
     is_word[0] = False
-    return letters, *word_spans(letters, off, is_word)
+    starts, ends, rows = word_spans(letters, off, is_word)
+    return letters, starts, ends, rows, script[starts].astype(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch], langs: list[str]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +153,7 @@ def _count(batches: Iterator[pa.RecordBatch], langs: list[str]) -> Iterator[pa.R
         of = np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
         for lo, hi, data, off in text_slices(batch.column(1)):
             data, off = separated(data, off)
-            letters, starts, ends, rows = _words(data, off)
+            letters, starts, ends, rows, script = _words(data, off)
             if not len(starts):
                 continue
             inside = letters > 0
@@ -115,9 +161,7 @@ def _count(batches: Iterator[pa.RecordBatch], langs: list[str]) -> Iterator[pa.R
             lang = of[lo:hi][row_of[inside]]
             for g in gram_buckets(letters):
                 total[:, :size] += np.bincount(lang * size + g[inside], minlength=total.shape[0] * size).reshape(total.shape[0], size)
-            script = SCRIPTS[data[starts]].astype(np.int64)
-            known = script >= 0
-            total[:, size:] += np.bincount(of[lo:hi][rows[known]] * N_SCRIPTS + script[known], minlength=total.shape[0] * N_SCRIPTS).reshape(total.shape[0], N_SCRIPTS)
+            total[:, size:] += np.bincount(of[lo:hi][rows] * N_SCRIPTS + script, minlength=total.shape[0] * N_SCRIPTS).reshape(total.shape[0], N_SCRIPTS)
     a, b = np.nonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[a, b])], ["lang", "feature", "n"])
 
@@ -154,7 +198,7 @@ def fit(docs: DataFrame, trained: Column, sample_rows: int = SAMPLE_ROWS, id_col
 def word_scores(data: np.ndarray, off: np.ndarray, logp: np.ndarray, in_use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scores [word, language], byte lengths and rows of the words."""
     data, off = separated(data, off)
-    letters, starts, ends, rows = _words(data, off)
+    letters, starts, ends, rows, script = _words(data, off)
     if not len(starts):
         return np.zeros((0, logp.shape[1]), np.float32), starts, rows
     size = ends - starts
@@ -170,7 +214,7 @@ def word_scores(data: np.ndarray, off: np.ndarray, logp: np.ndarray, in_use: np.
             per_byte = per_byte + column[g]
         score[:, lang] = np.add.reduceat(per_byte, cuts)[::2]
     score /= len(ORDERS)
-    allowed = in_use[np.maximum(SCRIPTS[data[starts]], 0)]
+    allowed = in_use[script]
     allowed |= ~allowed.any(axis=1, keepdims=True)
     return np.where(allowed, score, score.min(axis=1, keepdims=True) - 10 * SWITCH).astype(np.float32), size, rows
 
@@ -181,7 +225,7 @@ def viterbi(score: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> np
     All texts take their t-th step together, the longest first, so a step is a few vector operations.
     """
     n_lang = score.shape[1]
-    best = np.zeros(len(score), np.int8)
+    best = np.zeros(len(score), np.int32)
     if not len(score):
         return best
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
@@ -190,7 +234,7 @@ def viterbi(score: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> np
     steps = int(length[0])
     active = np.searchsorted(-length, -np.arange(steps), side="left")  # texts longer than t
     stay = np.zeros((len(score), n_lang), bool)
-    came = np.zeros(len(score), np.int8)
+    came = np.zeros(len(score), np.int32)
     v = np.zeros((len(counts), n_lang), np.float32)
     v[: active[0]] = score[first[: active[0]]]
     for t in range(1, steps):
@@ -221,31 +265,36 @@ def label(texts: pa.Array, langs: list[str], logp: np.ndarray, in_use: np.ndarra
     names, shares, spans = [UNDETERMINED] * n, [0.0] * n, [[] for _ in range(n)]
     if not langs:
         return names, shares, spans
-    scores, sizes, counts, has_letter = [], [], np.zeros(n, np.int64), np.zeros(n, bool)
+    held_together: list[tuple] = []
     for lo, hi, data, off in text_slices(texts):
-        s, size, rows = word_scores(data, off, logp, in_use)
-        scores.append(s)
-        sizes.append(size)
-        counts[lo:hi] = np.bincount(rows, minlength=hi - lo)
-    for i in np.flatnonzero(counts):
-        has_letter[i] = True
-    score, size = np.concatenate(scores), np.concatenate(sizes)
+        score, size, rows = word_scores(data, off, logp, in_use)
+        held_together.append((lo, hi, score, size, rows))
+        if hi == n or sum(h[2].nbytes for h in held_together) >= SCORE_BYTES:
+            _label_words(held_together, langs, texts, names, shares, spans)
+            held_together = []
+    return names, shares, spans
+
+
+def _label_words(parts: list[tuple], langs: list[str], texts: pa.Array, names: list[str], shares: list[float], spans: list) -> None:
+    """Fills in the predictions, shares and spans of the texts of some consecutive slices (lo, hi, score, size, rows)."""
+    base, n = parts[0][0], parts[-1][1] - parts[0][0]
+    score, size = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
+    row_of = np.concatenate([p[4] + (p[0] - base) for p in parts])
+    if not len(row_of):
+        return
+    counts = np.bincount(row_of, minlength=n)
     best = viterbi(score, counts)
-    row_of = np.repeat(np.arange(n), counts)
     held = np.bincount(row_of * len(langs) + best, weights=size, minlength=n * len(langs)).reshape(n, len(langs))
     top = held.argmax(axis=1)
     share = held[np.arange(n), top] / np.maximum(held.sum(axis=1), 1)
-    change = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (row_of[1:] != row_of[:-1])])) if len(best) else np.zeros(0, np.int64)
+    for i in np.flatnonzero(counts).tolist():
+        if _any_letter(texts[base + i].as_py()):  # not marks alone
+            names[base + i], shares[base + i] = langs[top[i]], float(share[i])
+    change = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (row_of[1:] != row_of[:-1])]))
     for a, b in zip(change.tolist(), [*change[1:].tolist(), len(best)], strict=True):
-        spans[row_of[a]].append((langs[best[a]], b - a))
-    for i in range(n):
-        if has_letter[i] and _any_letter(texts[i].as_py()):
-            names[i], shares[i] = langs[top[i]], float(share[i])
-        else:
-            spans[i] = []
-            if not has_letter[i] and _any_letter(texts[i].as_py()):
-                names[i], shares[i] = langs[0], 1.0 / len(langs)  # letters of no known block
-    return names, shares, spans
+        i = base + int(row_of[a])
+        if names[i] != UNDETERMINED or shares[i] > 0:
+            spans[i].append((langs[best[a]], b - a))
 
 
 def _any_letter(text: str | None) -> bool:
