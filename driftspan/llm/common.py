@@ -85,16 +85,31 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Ids that drop_ids broadcasts at most.
-BROADCAST_IDS = 1_000_000
+#: Rows (id, key) that keep_rows broadcasts at most, two numbers each.
+BROADCAST_ROWS = 500_000
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is not in ids (one column of the same name; a stored table). Few ids are broadcast, so no text is shuffled."""
-    gone = ids.select(F.col(id_col).alias("__gone__"))
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col] == F.col("__gone__"), "left_anti")
+def keep_rows(docs: DataFrame, verdicts: DataFrame, key: Column, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs that stay, with all their columns: one of those that repeat an id and a key.
+
+    verdicts has (id, key long, kept) of each row; key is the same of a row of docs, worked out
+    only where the id is asked for. A null id equals a null id. Few rows are broadcast, so no text
+    is shuffled, but for rows that are repeated: one partial aggregate keeps one of each.
+    """
+    scratch = Scratch(docs.sparkSession, "verdicts")
+    found = verdicts.groupBy(F.col("id").alias("__id__"), F.col("key").alias("__key__")).agg(F.bool_and("kept").alias("__kept__"), F.count("*").alias("__n__"))
+    found = scratch.save(found.where("NOT __kept__ OR __n__ > 1"))
+
+    def asked(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+    same = docs[id_col].eqNullSafe(F.col("__id__")) & (key == F.col("__key__"))
+    out = docs.join(asked(found.select("__id__", "__key__")), same, "left_anti")
+    repeated = found.where("__kept__").select("__id__", "__key__")
+    if not repeated.isEmpty():
+        again = docs.join(asked(repeated), same, "inner").groupBy("__id__", "__key__").agg(F.first(F.struct(*docs.columns)).alias("row"))
+        out = out.unionByName(again.select(*(F.col("row")[c].alias(c) for c in docs.columns)))
+    return out
 
 
 def settle(spark: SparkSession) -> None:

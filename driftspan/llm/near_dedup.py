@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspan.llm.common import FOLD, SPACE_BYTES, Scratch, byte_class, gram_hashes, mix, read_table, text_slices, word_hashes, word_spans
+from driftspan.llm.common import FOLD, SPACE_BYTES, Scratch, byte_class, gram_hashes, keep_rows, mix, read_table, text_slices, word_hashes, word_spans
 
 SHINGLE = 5
 #: The contract's query takes shorter shingles.
@@ -59,7 +59,7 @@ SIZE_STEP = 1.05
 #: Estimates this far below the threshold are believed (six standard deviations).
 MARGIN = 0.3
 #: Links that one union-find of components() holds.
-LINKS_TOGETHER = 200_000
+LINKS_TOGETHER = 400_000
 #: Ids that are broadcast at most, to read the texts of pairs without a shuffle of all texts.
 BROADCAST_IDS = 500_000
 _WORD = ~byte_class(SPACE_BYTES)
@@ -91,21 +91,26 @@ def _long_lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
+def text_key(text: Column) -> Column:
+    """Tells rows apart that repeat an id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def sketches(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, digest, sketch) of every row."""
+    """(id, text_key, n, digest, sketch) of every row; text_key is a hash of the text as it is."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, digest, sketch = [], [], []
-            for s in shingle_sets(batch.column(1), size):
+            for s in shingle_sets(batch.column(2), size):
                 n.append(len(s))
                 digest.append(set_digest(s))
                 sketch.append(s[:SKETCH])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _long_lists(sketch)], ["id", "n", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _long_lists(sketch)], ["id", "text_key", "n", "digest", "sketch"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"id {kind}, n long, digest binary, sketch array<long>")
+    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("t"))
+    return rows.mapInArrow(run, f"id {kind}, text_key long, n long, digest binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,17 +177,18 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame | None:
     """(node, comp) of every node of edges (a, b): the smallest node that it is connected with. None without edges.
 
-    Links are first thinned out where they lie, by union-find over so many at a time. Then every
-    node that has a smaller neighbour is contracted into its smallest one; the pointers, which
-    always descend, are followed to their ends by doubling, and the links between the ends are
-    contracted again until none is left. A hub's links are one key of partial aggregates, and one
-    side of joins between stored tables that Spark can split.
+    Links are first thinned out where they lie, by union-find over so many at a time. While more
+    are left than one union-find holds, every node that has a smaller neighbour is contracted into
+    its smallest one; the pointers, which always descend, are followed to their ends by doubling,
+    and the links between the ends are thinned out again. A hub's links are one key of partial
+    aggregates, and one side of joins between stored tables that Spark can split. What one
+    union-find holds (a bounded number of links) it finishes.
     """
     schema = ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in "ab")
     ordered = lambda e: e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    edges = scratch.save(ordered(edges).mapInArrow(_forest, schema).distinct())
+    edges = scratch.save(ordered(edges).mapInArrow(_forest, schema))
     found: DataFrame | None = None
-    while not edges.isEmpty():
+    while (left := edges.count()) > LINKS_TOGETHER:
         down = scratch.save(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("comp")))
         while True:
             up = down.select(F.col("node").alias("via"), F.col("comp").alias("end"))
@@ -191,21 +197,26 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame | None:
                 break
             down = down.drop("moved")
         down = down.select("node", "comp")
+        found = down if found is None else scratch.save(_moved(found, down))
         ends = down.select(F.col("node").alias("via"), F.col("comp").alias("end"))
-        if found is None:
-            found = down
-        else:
-            moved = found.join(ends, F.col("comp") == F.col("via"), "left").select("node", F.coalesce("end", "comp").alias("comp"))
-            found = scratch.save(moved.unionByName(down))
-        left = edges.join(ends, F.col("a") == F.col("via"), "left").select(F.coalesce("end", "a").alias("a"), "b")
-        left = left.join(ends, F.col("b") == F.col("via"), "left").select("a", F.coalesce("end", "b").alias("b"))
-        edges = scratch.save(ordered(left).mapInArrow(_forest, schema).distinct())
+        rest = edges.join(ends, F.col("a") == F.col("via"), "left").select(F.coalesce("end", "a").alias("a"), "b")
+        rest = rest.join(ends, F.col("b") == F.col("via"), "left").select("a", F.coalesce("end", "b").alias("b"))
+        edges = scratch.save(ordered(rest).distinct().mapInArrow(_forest, schema))
+    if left:
+        last = scratch.save(edges.coalesce(1).mapInArrow(_forest, schema).select(F.col("b").alias("node"), F.col("a").alias("comp")))
+        found = last if found is None else _moved(found, last)
     if found is None:
         return None
     roots = found.select(F.col("comp").alias("node")).distinct().withColumn("comp", F.col("node"))
     return scratch.save(found.unionByName(roots))
 
 
+def _moved(found: DataFrame, down: DataFrame) -> DataFrame:
+    """Pointers found, led on along those found later, and these."""
+    ends = down.select(F.col("node").alias("via"), F.col("comp").alias("end"))
+    return found.join(ends, F.col("comp") == F.col("via"), "left").select("node", F.coalesce("end", "comp").alias("comp")).unionByName(down)
+
+
 def _fewest(n: Column) -> Column:
     """Of a set of n shingles, how many a linked one shares at least."""
     return F.floor((n * PERCENT + 99) / 100)
@@ -314,7 +325,7 @@ class _Linker:
 
 
 def near_dedup(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_shingles, class_id, component_id, kept) of every row: the smallest id of equal sets, and of the component."""
+    """(id_col, n_shingles, class_id, component_id, kept, text_key) of every row: the smallest id of equal sets, and of the component."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
     rows = scratch.save(sketches(docs, size, id_col, text_col), release=True)
     classes = rows.where("n > 0").groupBy("n", "digest").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
@@ -328,7 +339,14 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", tex
     named = scratch.save(named)
     out = rows.drop("sketch").join(named, ["n", "digest"], "left")
     comp = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("class_id"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("class_id"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"), "text_key")
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that represent their component; of repeated rows one."""
+    verdicts = near_dedup(docs, size, id_col, text_col).select(F.col(id_col).alias("id"), F.col("text_key").alias("key"), "kept", "n_shingles")
+    verdicts = verdicts.where("n_shingles > 0").drop("n_shingles")  # rows without words are linked with nothing
+    return keep_rows(docs, verdicts, text_key(docs[text_col]), id_col)
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
