@@ -19,7 +19,8 @@ hold a mark of the template and every text can be read back.
 
 Defined cases: null text and null role are empty; a null conv_id is a conversation of its
 own; events of equal seq are ordered by target, role and text, nulls first; repeated rows are
-repeated turns; an empty table gives an empty result; other columns are ignored.
+repeated turns; a very long text is one message; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,18 +10,21 @@ one in mid-line) is sought in the word windows of the whole text. A best window
 with a bigram of the template, so from each such bigram on, the best end is taken, up to the
 most bigrams that can match. A window inside a better one of another template is that one's part.
 
-Before that, texts and blocks that cannot match are dropped without loss: a text is cut only if it
-holds as many of some template's bigrams as a match shares with it at least; and a block that
-reaches the threshold must hold one of any set of (bigrams - least common + 1) of them, so it
-must hold one of that template's cue words, which are chosen to cover such a set. No text crosses a shuffle and nothing is grouped.
+Before that, texts and blocks that cannot match are dropped without loss: a text without any cue
+word (below) is not cut into words at all; one is cut into blocks only if it holds as many of
+some template's bigrams as a match shares with it at least; and a block that reaches the
+threshold must hold one of any set of (bigrams - least common + 1) of them, so it must hold one of
+that template's cue words, which are chosen to cover such a set. No text crosses a shuffle and
+nothing is grouped.
 
 The templates are the one-line and file notices of the licences and the whole texts of MIT, ISC,
 BSD-2-Clause, BSD-3-Clause and Zlib; the bodies of the longer licences are left out.
 
 Defined cases: null or empty text has no licence; equal blocks of a text count once; of
 several templates over the threshold the best is reported, ties by name; all names found
-are listed; a licence found in windows only counts as one match, however often it occurs; repeated rows get the same result; an empty table gives an empty result; other
-columns of the input are ignored, whatever their names.
+are listed; a licence found in windows only counts as one match, however often it occurs; a very
+long text is scanned whole; repeated rows get the same result; an empty table gives an empty
+result; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -117,6 +120,13 @@ def _any(parts: list[Column]) -> Column:
     return out
 
 
+def _holds_cue(t: Column, cues: list[str]) -> Column:
+    """Whether a lower-cased text can hold a cue word; the short ones, which longer words often contain, are sought as words."""
+    short = [c for c in cues if len(c) <= 3]
+    found = [F.contains(t, F.lit(c)) for c in cues if len(c) > 3]
+    return _any([*found, t.rlike(f"(?<![a-z0-9])({'|'.join(short)})(?![a-z0-9])")] if short else found)
+
+
 def _matches(sets: Column, name: str, own: list[str], threshold: float) -> Column:
     """(dice, name) of the blocks' bigram sets that reach the threshold with one template; only sets within its size bounds are compared."""
     lo, hi = size_bounds(len(own), threshold)
@@ -185,6 +195,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
     cues = cue_words(templates, threshold)
     text = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t"))
+    rows = rows.select("id", F.when(_holds_cue(F.col("t"), cues), F.col("t")).otherwise("").alias("t"))
 
     def normal(c: Column) -> Column:
         return F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))

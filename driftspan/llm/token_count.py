@@ -6,7 +6,9 @@ Counts of pre-tokens, and of the pieces between single spaces, are remembered in
 per-process tables.
 
 Defined cases: null text is empty and has 0 tokens; special strings inside a text count as
-one token each, as the library does by default; very long pre-tokens cost n log n.
+one token each, as the library does by default; very long pre-tokens cost n log n; pairs of one
+rank are merged from left to right; repeated rows are counted alike; an empty table gives an
+empty result; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations

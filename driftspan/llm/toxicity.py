@@ -18,7 +18,8 @@ Scoring is vectorised over bytes for the input and over windows for the recurren
 Defined cases: a null or empty text, or one of white space alone, is scored as no window: the
 lowest score, 0; a text shorter than a window is one window; without labelled rows of both
 classes every score is the share of toxic labels (0 without any); repeated label rows count
-as their largest value; an empty table gives an empty result; other columns are ignored.
+as their largest value; a label row with a null id belongs to no document; a very long text is
+scored whole, by all its windows; repeated documents get the same score; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -470,6 +471,7 @@ def calibrate(net: Network, sample: DataFrame, counts: dict[int, int]) -> np.nda
 
     found = sample.mapInArrow(run, "row long, toxic int, windows long, x array<double>").where("windows > 0").toArrow().sort_by("row")  # a row a sampled text
     x = np.array(found["x"].to_pylist()).reshape(found.num_rows, -1)
+    shared.destroy()
     y = (found["toxic"].to_numpy() > 0).astype(np.float64)
     drawn = np.array([max(1, (y == 0).sum()), max(1, (y == 1).sum())])
     return _logistic(x, y, np.array([counts.get(0, 0), counts.get(1, 0)])[y.astype(int)] / drawn[y.astype(int)])
