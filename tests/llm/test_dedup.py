@@ -150,7 +150,9 @@ def test_near_empty(spark):
     assert near_dedup.near_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("together", [400_000, 30, 3])
+def test_components(spark, monkeypatch, together):
+    monkeypatch.setattr(near_dedup, "LINKS_TOGETHER", together)
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 40) if i != 20] + [(100, x) for x in range(101, 140)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)]
     r.shuffle(edges)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from driftspan.llm import chat, decontam, langid, license_scan, packing, token_count, toxicity
+from driftspan.llm.common import text_slices
 from tests.llm.fixtures import SCHEMA, corpus, frame, store, words
 
 ALPHABET = [*"ab's  \n\t\r\x0b\x1c\x1f\x85\xa0  　éÉÉ日本😀1２_-'llre've.!İΣσ", "<|endoftext|>", "<|startoftext|>", "  ", " \n", "'s"]
@@ -73,13 +75,27 @@ def test_packing(spark, task_pieces, monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = corpus()
     scratch = packing.Scratch(spark, "test")
-    pieces = scratch.save(packing.tokenised_pieces(frame(spark, rows), path, 512))
+    pieces = scratch.save(packing.tokenised_pieces(frame(spark, rows), packing.read_vocabulary(spark, path), 512))
     got = packing.pack(pieces, 512, task_pieces).collect()
     n = check_packing(got, rows, Tokenizer.from_file(path), 512)
     assert n <= packing.lower_bound(np.array([r.length for r in got]), 512) + (1 if task_pieces > 8 else 3)
     assert packing.best_fit_packing(spark.createDataFrame([], SCHEMA), path).count() == 0
 
 
+@pytest.mark.parametrize("task_pieces", [8, 50, 50_000])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_packing_where_no_two_pieces_fit(spark, task_pieces, repeated):
+    """More bins in a task than task_pieces: no sequence is over its capacity, and repeated rows part."""
+    rows = [(2**60 + (7 if repeated else i), 0, 0, 300 if repeated else 300 + i % 3, 5) for i in range(180)]
+    pieces = packing.Scratch(spark, "test").save(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(3))
+    got = packing.pack(pieces, 512, task_pieces).collect()
+    assert len({r.sequence_id for r in got}) == len(got) == 180 and all(r.offset == 0 for r in got)
+    assert sorted((r.doc_id, r.length) for r in got) == sorted((r[0], r[3]) for r in rows)
+    assert all(1 <= r.partition_bound <= r.partition_bins for r in got)
+    if task_pieces == 8:
+        assert max(r.partition_bins for r in got) < 40  # not all in one task
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_lower_bound_never_exceeds_the_packing(seed):
     r = np.random.default_rng(seed)
@@ -93,21 +109,22 @@ def brute_decontam(text, items, window=13):
     w = (text or "").encode().translate(decontam.NORMAL).split()
     hit, found = set(), set()
     for item, t in items:
-        for win in decontam.item_windows((t or "").encode().translate(decontam.NORMAL).split(), window):
-            win = win.split()
+        own = (t or "").encode().translate(decontam.NORMAL).split()
+        for win in [own[k : k + window] for k in range(max(1, len(own) - window + 1))] if own else []:
             for p in range(len(w) - len(win) + 1):
                 if w[p : p + len(win)] == win:
                     hit |= set(range(p, p + len(win)))
-                    found.add(str(item))
+                    found |= {str(item)} if item is not None else set()
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [8_000_000, 1])
+@pytest.mark.parametrize("block", [8_000_000, 150])
 def test_decontamination(spark, monkeypatch, block):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
     r = random.Random(9)
-    items = [(3, " ".join(words(r, 20))), (12, "Short, ITEM here!"), (5, None), (6, "?!"), (7, "été 日本"), (12, "Short, ITEM here!")]
-    rows = corpus() + [(900, "x short item; here y " + items[0][1].upper().replace(" ", "--"), None, None, 0), (901, items[0][1][5:], None, None, 0), (902, "ünï été日本 été 日本", None, None, 0)]
+    items = [(3, " ".join(words(r, 20))), (12, "Short, ITEM here!"), (5, None), (6, "?!"), (7, "été 日本"), (12, "Short, ITEM here!"), (None, "an item without an id"), (None, None)]
+    items += [(20, items[0][1]), (21, "be " * 30), (12, "w1 w2 " * 12), (22, " ".join(words(r, 60, 3)))]
+    rows = corpus() + [(903, "here is an item without an id", None, None, 0), (904, "be " * 12 + "is " + "be " * 13 + "x " + "be " * 40, None, None, 0), (905, " ".join(words(r, 400, 3)), None, None, 0), (906, items[-1][1][20:] + " " + items[-1][1][:80], None, None, 0), (907, "w2 w1 " * 40, None, None, 0), (900, "x short item; here y " + items[0][1].upper().replace(" ", "--"), None, None, 0), (901, items[0][1][5:], None, None, 0), (902, "ünï été日本 été 日本", None, None, 0)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = decontam.contamination(frame(spark, rows), benchmark).collect()
     for x in got:
@@ -144,6 +161,15 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(chat.conversation_events(chats(spark, []))).count() == 0
 
 
+def test_chat_ignores_other_columns(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "Hello " * 50_000)]
+    plain, more = chats(spark, rows), chats(spark, rows)
+    for c in ("seq", "kind", "target", "formatted", "loss_start", "loss_end", "id", "a"):
+        more = more.withColumn(c, F.lit("x"))
+    digests = [sorted(map(tuple, chat.chat_digests(chat.format_chats(chat.conversation_events(d))).collect())) for d in (plain, more)]
+    assert digests[0] == digests[1] and digests[0][0][1] == 2
+
+
 def test_chat_events(spark):
     log = [
         (1, 0, "message", 0, "user", "hi"),
@@ -173,6 +199,16 @@ def test_licences(spark):
     assert license_scan.license_scan(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_licences_in_nulls_long_texts_ties_and_repeated_rows(spark):
+    mit = license_scan.TEMPLATES["MIT"]
+    long = "\n".join(" ".join(words(random.Random(k), 12)) for k in range(3000))
+    rows = [(1, None, None, None, 0), (2, f"{long}\n{mit}\n{long}", None, None, 0), (3, mit, None, None, 0), (3, mit, None, None, 0), (4, f"{mit}\n{mit}", None, None, 0)]
+    got = sorted((x.doc_id, x.license, x.n_matches) for x in license_scan.license_scan(frame(spark, rows)).collect() if x.doc_id != 1)
+    assert [g[:2] for g in got] == [(2, "MIT"), (3, "MIT"), (3, "MIT"), (4, "MIT")] and got[1] == got[2]
+    tied = license_scan.license_scan(frame(spark, [(1, "x\nsome alpha beta gamma words\ny", None, None, 0), (2, None, None, None, 0)]), {"B": "some alpha beta gamma words", "A": "some alpha beta gamma words"}).collect()
+    assert {x.doc_id: (x.license, x.licenses) for x in tied} == {1: ("A", "A,B"), 2: (None, "")}
+
+
 def test_licences_that_are_no_block(spark):
     text = license_scan.TEMPLATES
     prose = "\n".join(" ".join(words(random.Random(k), 12)) for k in range(30))
@@ -292,6 +328,126 @@ def test_rare_languages_are_sampled(spark):
     assert langid.sample_shares({"a": 10, "b": 100, "c": 1000}, 110) == {"a": 1.0, "b": 0.5, "c": 0.05}
 
 
+def plain_letters(text):
+    """The folded bytes of letters and marks, 0 for all others, and each word's (start, end, script) by plain loops."""
+    out, words, previous = [], [], False
+    for c in text:
+        letter, raw = unicodedata.category(c)[0] in "LM", c.encode()
+        if letter:
+            low = c.lower() if c.isascii() or 0xC0 <= ord(c) <= 0xDE else c
+            if not previous:
+                number = next((k for k, blocks in enumerate(langid.BLOCKS.values()) if any(lo <= ord(c) <= hi for lo, hi in blocks)), len(langid.BLOCKS))
+                words.append([len(out), 0, number])
+            out += low.encode()
+            words[-1][1] = len(out)
+        else:
+            out += [0] * len(raw)
+        previous = letter
+    return out, words
+
+
+TRICKY = ["Das Häuschen, ÄÖÜ ×÷ ¿qué?", "日本語 の、。テキスト", "हिन्दी में लिखा", "emoji 😀😀 x🙂y", "", "123 — !", "Ελληνικά и русский", "한국어 العربية ไทย", "a\x00b", "ꦗꦮ javanese"]
+
+
+def test_letters_equal_plain_loops():
+    texts = pa.array(TRICKY, pa.large_string())
+    for _, _, data, off in text_slices(texts):
+        letters, starts, ends, rows, script = langid._words(data, off)
+        for i, t in enumerate(TRICKY):
+            want, words = plain_letters(t)
+            assert letters[off[i] : off[i + 1]].tolist() == want, t
+            mine = rows == i
+            assert [list(x) for x in zip((starts[mine] - off[i]).tolist(), (ends[mine] - off[i]).tolist(), script[mine].tolist(), strict=True)] == words, t
+
+
+def test_word_scores_equal_plain_loops():
+    r = np.random.default_rng(2)
+    logp = r.normal(-8, 2, (1 << langid.BITS, 3)).astype(np.float32)
+    in_use = r.random((langid.N_SCRIPTS, 3)) < 0.5
+    texts = TRICKY + ["".join(r.choice(list("abcdefgé я\n"), 200)) for _ in range(5)]
+    data = "".join(texts).encode()
+    off = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    score, size, rows = langid.word_scores(np.frombuffer(data, np.uint8), off, logp, in_use)
+    at = 0
+    for i, t in enumerate(texts):
+        letters, words = plain_letters(t)
+        padded = [0, 0, 0, *letters]
+        for start, end, script in words:
+            total = np.zeros(3)
+            for p in range(start, end):
+                for k in langid.ORDERS:
+                    h = k * 0x632BE5AB & 0xFFFFFFFF
+                    for j in range(k):
+                        h = (h ^ padded[p + 3 - j]) * int(langid._MULT[j]) & 0xFFFFFFFF
+                        h ^= h >> 15
+                    total += logp[h >> (32 - langid.BITS)]
+            want = (total / len(langid.ORDERS)).astype(np.float32)
+            allowed = in_use[script] if in_use[script].any() else np.ones(3, bool)
+            assert (rows[at], size[at]) == (i, end - start)
+            assert np.allclose(score[at][allowed], want[allowed], rtol=1e-4) and (score[at][~allowed] < want.min() - langid.SWITCH).all()
+            at += 1
+    assert at == len(score)
+
+
+def test_languages_ties_long_texts_and_many_languages(spark, monkeypatch):
+    langs = [f"l{i:03}" for i in range(200)]
+    r = np.random.default_rng(4)
+    logp = r.normal(-8, 1, (1 << langid.BITS, 200)).astype(np.float32)
+    logp[:, 150] += 5
+    model = langs, logp, np.ones((langid.N_SCRIPTS, 200), bool)
+    rows = [(1, "some words of a text", None, "s", 0), (2, "word " * 30_000, None, "s", 0), (3, None, None, "s", 0), (1, "some words of a text", None, "s", 0)]
+    got = langid.identify(frame(spark, rows), model).collect()
+    assert sorted((x.doc_id, x.lang_pred, x.score) for x in got) == [(1, "l150", 1.0), (1, "l150", 1.0), (2, "l150", 1.0), (3, "und", 0.0)]
+    tied = ["a", "b"], np.full((1 << langid.BITS, 2), -5, np.float32), np.ones((langid.N_SCRIPTS, 2), bool)
+    assert langid.identify(frame(spark, rows[:1]), tied).first().lang_pred == "a"
+    assert langid.identify(spark.createDataFrame([], SCHEMA), model).count() == 0
+    texts = pa.array([t for t in TRICKY for _ in range(3)])
+    whole = langid.label(texts, *model)
+    monkeypatch.setattr(langid, "SCORE_BYTES", 1)
+    assert langid.label(texts, *model) == whole
+
+
+def test_texts_features_equal_one_window_at_a_time():
+    """Scores of all texts at once are those of each window on its own, wherever texts and slices end."""
+    r = random.Random(3)
+    net = toxicity.Network(5)
+    net.p["word"] *= 5
+    texts = [None, "", " .,! ", "one", " ".join(words(r, 48)), " ".join(words(r, 49)), " ".join(words(r, 72)), " ".join(words(r, 73)), "Ünï " * 130, " ".join(words(r, 700)), "one"]
+    windows, features = toxicity.texts_features(net, pa.array(texts, pa.string()))
+    for t, n, x in zip(texts, windows, features, strict=True):
+        raw = (t or "").encode()
+        found, starts, ends = toxicity.word_features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[1:4] if raw else ([], [], [])
+        count = len(starts)
+        begins = sorted({min(b, max(0, count - toxicity.WINDOW)) for b in range(0, max(1, count - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)}) if count else []
+        assert n == len(begins)
+        logits = []
+        for b in begins:
+            e = min(b + toxicity.WINDOW, count)
+            part = raw[starts[b] : ends[e - 1]]
+            w, g, s, z, _ = toxicity.word_features(np.frombuffer(part, np.uint8), np.array([0, len(part)]))
+            at = np.full((1, toxicity.WINDOW), -1)
+            at[0, : e - b] = np.arange(e - b)
+            logits.append(float(net.forward(net.inputs(w, g, s, z), at)[0][0]))
+        if logits:
+            top = sorted(logits, reverse=True)
+            assert np.allclose(x, [top[0], np.mean(top), np.mean(top[:3]), np.log(len(top)), 1], atol=2e-4), t
+    again = toxicity.texts_features(net, pa.array(texts[::-1], pa.string()))[1][::-1]
+    assert np.allclose(features, again, atol=1e-4) and np.allclose(features[3], features[-1], atol=1e-4)
+
+
+def test_toxicity_empty_tables_long_texts_and_null_labels(spark):
+    r = random.Random(1)
+    label = lambda rows: spark.createDataFrame(rows, "doc_id long, quality long, toxic long")
+    docs = [(i, " ".join(words(r, 60) + (["awful", "nasty"] * 6 if i % 2 else [])), None, None, 0) for i in range(60)]
+    net = toxicity.fit(frame(spark, docs), label([(i, 0, i % 2) for i in range(60)] + [(None, 0, 1), (3, None, None), (5, 0, 0)]), F.lit(True))
+    far = [(100, " ".join(words(r, 30_000)), None, None, 0), (101, " ".join(words(r, 20_000) + ["awful", "nasty"] * 6 + words(r, 20_000)), None, None, 0), (None, docs[1][1], None, None, 0), (1, docs[1][1], None, None, 0), (1, docs[1][1], None, None, 0)]
+    got = [(x.doc_id, x.predicted, round(x.score, 6)) for x in toxicity.toxicity(frame(spark, far), net).collect()]
+    assert len(got) == 5 and len({s for i, _, s in got if i in (1, None)}) == 1
+    assert toxicity.toxicity(spark.createDataFrame([], SCHEMA), net).count() == 0
+    nothing = toxicity.fit(spark.createDataFrame([], SCHEMA), label([]), F.lit(True))
+    assert [x.score for x in toxicity.toxicity(frame(spark, docs[:2]), nothing).collect()] == [0.0, 0.0]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_viterbi_equals_one_text_at_a_time(seed):
     r = np.random.default_rng(seed)
