@@ -10,39 +10,43 @@ from driftspan.functions.binning import left_closed_bin
 EPS = 1e-12
 
 
-def _kl(df: DataFrame, p: str, q: str, eps: float) -> DataFrame:
-    """One row: the divergence of p from q in nats, after adding eps and normalising; null for undefined rows."""
-    totals = df.agg(F.sum(F.col(p) + eps).alias("sp"), F.sum(F.col(q) + eps).alias("sq"))
-    a, b = (F.col(p) + eps) / F.col("sp"), (F.col(q) + eps) / F.col("sq")
-    return df.crossJoin(F.broadcast(totals)).agg(F.sum(a * F.log(a / b)).alias("value"))  # totals: one row
+def _kl(p: Column, q: Column, eps: float) -> Column:
+    """Aggregate: the divergence of p from q in nats, after adding eps and normalising; null for undefined rows.
+
+    sum(a ln(a / b)) of the normalised a and b, with their sums taken out of the logarithm, so it is one pass.
+    """
+    x, y = p + eps, q + eps
+    return F.sum(x * F.log(x / y)) / F.sum(x) + F.log(F.sum(y) / F.sum(x))
 
 
 def kl_divergence(df: DataFrame, p: str = "p", q: str = "q", eps: float = EPS) -> DataFrame:
-    return _kl(df, p, q, eps)
+    return df.agg(_kl(F.col(p), F.col(q), eps).alias("value"))
 
 
 def js_divergence(df: DataFrame, p: str = "p", q: str = "q", eps: float = EPS) -> DataFrame:
     """Half the divergences of p and q from their mean; the mean is taken before normalising."""
-    mid = df.withColumn("__m", (F.col(p) + F.col(q)) / 2)
-    one, two = _kl(mid, p, "__m", eps), _kl(mid, q, "__m", eps).withColumnRenamed("value", "other")
-    return one.crossJoin(F.broadcast(two)).select((0.5 * F.col("value") + 0.5 * F.col("other")).alias("value"))  # one row each
+    one, two = F.col(p), F.col(q)
+    mid = (one + two) / 2
+    return df.agg((0.5 * _kl(one, mid, eps) + 0.5 * _kl(two, mid, eps)).alias("value"))
 
 
 def histogram(df: DataFrame, column: str, is_ood: Column, bins: int = 20) -> DataFrame:
-    """(bin, p, q): densities of in- and out-of-distribution values over bins set by the former; empty bins are there."""
+    """(bin, p, q): densities of in- and out-of-distribution values over bins set by the former; empty bins are there.
+
+    Two passes over df, one for the range and one for the counts; the result is a local table of bins.
+    """
     x = F.col(column).cast("double")
     values = df.select(x.alias("x"), is_ood.alias("ood")).where("x IS NOT NULL AND NOT isnan(x)")
-    span = values.where("NOT ood").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    ranged = values.crossJoin(F.broadcast(span))  # one row
-    binned = ranged.withColumn("bin", left_closed_bin(F.col("x"), F.col("lo"), F.col("hi"), bins)).where("bin IS NOT NULL")
-    counts = binned.groupBy("bin").agg(F.sum(F.when(F.col("ood"), 0).otherwise(1)).alias("p"), F.sum(F.when(F.col("ood"), 1).otherwise(0)).alias("q"))
-    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    full = grid.join(counts, "bin", "left").select("bin", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("q", F.lit(0)).alias("q"))
-    totals = full.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
-    width = F.when(F.col("lo") == F.col("hi"), F.lit(1.0)).otherwise(F.col("hi") - F.col("lo")) / bins
-    both = full.crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(span))  # one row each
-    share = lambda c, n: F.when(F.col(n) > 0, F.col(c) / (F.col(n) * width))
-    return both.select("bin", share("p", "np").alias("p"), share("q", "nq").alias("q"))
+    lo, hi = values.where("NOT ood").agg(F.min("x"), F.max("x")).first()
+    p, q = [0] * bins, [0] * bins
+    if lo is not None:
+        binned = values.select(left_closed_bin(F.col("x"), F.lit(lo), F.lit(hi), bins).alias("bin"), "ood").where("bin IS NOT NULL")
+        found = binned.groupBy("bin").agg(F.count_if(~F.col("ood")).alias("p"), F.count_if("ood").alias("q")).collect()  # a row a bin
+        for r in found:
+            p[r["bin"]], q[r["bin"]] = r["p"], r["q"]
+    width = ((hi - lo) or 1.0) / bins if lo is not None else 1.0
+    share = lambda counts: [c / (sum(counts) * width) if sum(counts) else None for c in counts]
+    return df.sparkSession.createDataFrame(list(zip(range(bins), share(p), share(q), strict=True)), "bin int, p double, q double")
 
 
 def histogram_divergence(df: DataFrame, column: str, is_ood: Column, bins: int = 20, method: str = "js") -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftspan.functions.ranking import rank_by_draw, rank_by_value
+from driftspan.functions.ranking import draw, rank_by_draw, rank_by_value
 from driftspan.operators.shifts import PARTITION
 
 #: (train on out of distribution, test on in, test on out) of each mode; all train on in.
@@ -61,17 +62,18 @@ class BatchSampler:
         train_ood, test_id, test_ood = MODES[mode]
         size = self.batch_size if batch_size is None else batch_size
         sided = df.withColumn("__ood", F.col(PARTITION) != 0)
-        if self.shuffle:
-            ranked = rank_by_draw(sided, self.row_id, self.seed, ["__ood"], "__rank")
-        else:
-            ranked = rank_by_value(sided, self.row_id, ["__ood"], "__rank")
         n = sided.agg(F.sum((~F.col("__ood")).cast("bigint")).alias("id"), F.sum(F.col("__ood").cast("bigint")).alias("ood")).first()
-        n_id, n_ood = n["id"] or 0, n["ood"] or 0
+        order = [draw(self.seed, self.row_id), F.col(self.row_id)] if self.shuffle else [F.col(self.row_id)]
+
+        def first(ood: bool, k: int, offset: int, role: str) -> DataFrame:
+            """The first k rows of a side by order, as far as they fit into the batch."""
+            rows = sided.where(F.col("__ood") if ood else ~F.col("__ood")).orderBy(*order).limit(max(0, min(k, size - offset)))
+            place = F.row_number().over(Window.orderBy(*order)) + (offset - 1)  # a batch's rows at most
+            return rows.select(*df.columns, F.lit(role).alias("role"), place.cast("bigint").alias("batch_pos"))
+
         parts = []
         for role, fraction, use_id, use_ood in (("train", train_fraction, True, train_ood), ("test", test_fraction, test_id, test_ood)):
-            k_id = int(n_id * fraction) if use_id else 0
-            k_ood = int(n_ood * fraction) if use_ood else 0
-            place = F.when(F.col("__ood"), F.col("__rank") + k_id).otherwise(F.col("__rank")) - 1
-            chosen = ranked.where(F.col("__rank") <= F.when(F.col("__ood"), k_ood).otherwise(k_id)).withColumn("batch_pos", place.cast("bigint"))
-            parts.append(chosen.where(F.col("batch_pos") < size).withColumn("role", F.lit(role)).select(*df.columns, "role", "batch_pos"))
-        return parts[0].unionByName(parts[1])
+            k_id = int((n["id"] or 0) * fraction) if use_id else 0
+            k_ood = int((n["ood"] or 0) * fraction) if use_ood else 0
+            parts += [first(False, k_id, 0, role), first(True, k_ood, k_id, role)]
+        return reduce(DataFrame.unionByName, parts)

@@ -69,19 +69,35 @@ def roc_points(df: DataFrame, score: str, positive: Column) -> DataFrame:
     return points.withColumn("kept", kept)
 
 
+def _defined(value: Column) -> Column:
+    """value where both classes occur, else null."""
+    return F.when((F.max("all_p") > 0) & (F.max("all_n") > 0), value)
+
+
+def _auroc() -> Column:
+    area = F.sum(F.col("n") * ((F.col("tp") - F.col("p")) + F.col("p") / 2.0))
+    return _defined(F.try_divide(area, F.max("all_p").cast("double") * F.max("all_n")))
+
+
+def _fpr_at_tpr(level: float) -> Column:
+    tpr, fpr = F.try_divide("tp", "all_p"), F.try_divide("fp", "all_n")
+    return _defined(F.coalesce(F.min(F.when(F.col("kept") & (tpr >= level), fpr)), F.max(fpr)))
+
+
 def auroc(points: DataFrame) -> DataFrame:
     """One row (value) from roc_points; null if a class is missing."""
-    both = (F.max("all_p") > 0) & (F.max("all_n") > 0)
-    area = F.sum(F.col("n") * ((F.col("tp") - F.col("p")) + F.col("p") / 2.0))
-    return points.agg(F.when(both, F.try_divide(area, F.max("all_p").cast("double") * F.max("all_n"))).alias("value"))
+    return points.agg(_auroc().alias("value"))
 
 
 def fpr_at_tpr(points: DataFrame, level: float = 0.95) -> DataFrame:
     """One row (value): the false-positive rate of the first kept point whose true-positive rate reaches level, else of the last."""
-    tpr, fpr = F.try_divide("tp", "all_p"), F.try_divide("fp", "all_n")
-    reached = F.min(F.when(F.col("kept") & (tpr >= level), fpr))
-    both = (F.max("all_p") > 0) & (F.max("all_n") > 0)
-    return points.agg(F.when(both, F.coalesce(reached, F.max(fpr))).alias("value"))
+    return points.agg(_fpr_at_tpr(level).alias("value"))
+
+
+def detection_metrics(points: DataFrame) -> DataFrame:
+    """(metric, value) of auroc and fpr@95tpr from one pass over roc_points."""
+    both = points.agg(_auroc().alias("auroc"), _fpr_at_tpr(0.95).alias("fpr"))
+    return both.selectExpr("stack(2, 'auroc', auroc, 'fpr@95tpr', fpr) AS (metric, value)")
 
 
 def probability_score(probabilities: Column) -> Column:
@@ -115,9 +131,8 @@ class MetricsEvaluator:
         pairs = ", ".join(f"'{k}', {k}" for k in per)
         out = by.selectExpr("scope", f"stack({len(per)}, {pairs}) AS (metric, value)")
         if score is not None:
-            points = roc_points(df, score, F.col(is_ood))
-            for metric, value in (("auroc", auroc(points)), ("fpr@95tpr", fpr_at_tpr(points))):
-                out = out.unionByName(value.select(F.lit("global").alias("scope"), F.lit(metric).alias("metric"), "value"))
+            found = detection_metrics(roc_points(df, score, F.col(is_ood)))
+            out = out.unionByName(found.select(F.lit("global").alias("scope"), "metric", "value"))
         return out
 
     @staticmethod

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftspan.functions.binning import right_closed_bin
-from driftspan.functions.ranking import draw
+from driftspan.functions.ranking import draw, rank_by_value
 
 PARTITION = "partition_id"
 
@@ -48,10 +48,14 @@ class ShiftStrategy(ABC):
 def first_appearance_ids(df: DataFrame, keys: list[str], row_id: str, out: str) -> DataFrame:
     """df with ids of distinct key tuples, numbered by their least row_id; null is a value of its own.
 
-    The window runs over the distinct tuples, which partial aggregates have made few.
+    Bin numbers make few tuples, which one window numbers; strings may make many, which are
+    ranked in ranges of the least row_id (if that is a number).
     """
     groups = df.groupBy(*keys).agg(F.min(row_id).alias("__first"))
-    groups = groups.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), (F.row_number().over(Window.orderBy("__first")) - 1).cast("int").alias(out))
+    many = any(isinstance(df.schema[k].dataType, T.StringType) for k in keys) and isinstance(df.schema[row_id].dataType, T.NumericType)
+    number = F.col("__number") if many else F.row_number().over(Window.orderBy("__first"))
+    groups = rank_by_value(groups, "__first", out="__number") if many else groups
+    groups = groups.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), (number - 1).cast("int").alias(out))
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))

@@ -107,7 +107,7 @@ def _prep_transform() -> str:
     cols = ", ".join(f"round(({e} - mean_{s}) / CASE WHEN sd_{s} = 0 THEN 1 ELSE sd_{s} END, 6) + 0e0 AS status_{s}" for s, e in hot.items())
     return f"""WITH {_GAPS}, even AS (SELECT * FROM g WHERE o_orderkey % 2 = 0), {_MODE.format('even')}, mm AS (SELECT median(price) AS mid FROM even),
     st AS (SELECT avg(coalesce(price, mid)) AS ap, stddev_pop(coalesce(price, mid)) AS dp, {stats} FROM even, md, mm)
-    SELECT o_orderkey, round((coalesce(price, mid) - ap) / dp, 6) + 0e0 AS price, {cols} FROM g, md, mm, st WHERE o_orderkey % 2 = 1"""
+    SELECT o_orderkey, round((coalesce(price, mid) - ap) / dp, 6) + 0e0 AS price, {cols} FROM g, md, mm, st"""
 
 
 _GUESS = "g AS (SELECT o_orderstatus AS y, CASE WHEN o_totalprice > 200000 THEN 'F' WHEN o_totalprice > 60000 THEN 'O' ELSE 'P' END AS p, o_custkey % 3 = 0 AS is_ood FROM orders)"
@@ -152,17 +152,52 @@ def _js(source: str) -> str:
 _PRIORITIES = "h AS (SELECT o_orderpriority, CAST(count(*) FILTER (o_orderstatus = 'F') AS DOUBLE) AS p, CAST(count(*) FILTER (o_orderstatus = 'O') AS DOUBLE) AS q FROM orders GROUP BY o_orderpriority)"
 
 
+def _neighbours(dims: int) -> str:
+    """CTEs ending in p(vec_id, x0, ..., label, r): each row's others by distance."""
+    x = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(dims))
+    d = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(dims))
+    return f"""e AS (SELECT vec_id, {x}, label FROM embeddings),
+    k AS (SELECT greatest(1, CAST(floor(count(*) * 0.1e0) AS BIGINT)) AS k FROM e),
+    p AS (SELECT a.vec_id, {', '.join(f'b.x{i}' for i in range(dims))}, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(sqrt({d}), 9), b.vec_id) AS r FROM e a, e b WHERE a.vec_id <> b.vec_id)"""
+
+
 def _knn() -> str:
-    x = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(DIMS))
-    d = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(DIMS))
     var = ", ".join(f"round(var_samp(x{i}), 6) AS var{i}" for i in range(DIMS))
-    return f"""WITH e AS (SELECT vec_id, {x} FROM embeddings),
-    k AS (SELECT greatest(1, CAST(floor(count(*) * 0.1e0) AS BIGINT)) AS k FROM e),
-    p AS (SELECT a.vec_id, {', '.join(f'b.x{i}' for i in range(DIMS))}, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(sqrt({d}), 9), b.vec_id) AS r FROM e a, e b WHERE a.vec_id <> b.vec_id)
-    SELECT vec_id, {var} FROM p, k WHERE r <= k GROUP BY vec_id"""
+    return f"WITH {_neighbours(DIMS)} SELECT vec_id, {var} FROM p, k WHERE r <= k GROUP BY vec_id"
+
+
+def _knn_metafeatures() -> str:
+    per = [f.format(f"x{i}") for f in ("avg({0})", "stddev_samp({0})", "min({0})", "max({0})", "max({0}) - min({0})") for i in range(3)]
+    per += ["count(*)", "3", "count(*) / 3e0", "count(DISTINCT label)", "entropy(label)"]
+    values = ", ".join(f"round(CAST({v} AS DOUBLE), 6) AS m{i}" for i, v in enumerate(per))
+    return f"WITH {_neighbours(3)} SELECT vec_id, {values} FROM p, k WHERE r <= k GROUP BY vec_id"
+
+
+def _knn_summaries() -> str:
+    names = ", ".join(f"round(CAST({v} AS DOUBLE), 6) AS m{i}" for i, v in enumerate(("least(a, b, c)", "greatest(a, b, c)", "greatest(a, b, c) - least(a, b, c)", "lo", "hi", "hi - lo")))
+    return f"""WITH {_neighbours(3)}, v AS (SELECT vec_id, var_samp(x0) AS a, var_samp(x1) AS b, var_samp(x2) AS c FROM p, k WHERE r <= k GROUP BY vec_id),
+    f AS (SELECT vec_id, label, count(*) / sum(count(*)) OVER (PARTITION BY vec_id) AS share FROM p, k WHERE r <= k GROUP BY vec_id, label),
+    s AS (SELECT vec_id, min(share) AS lo, max(share) AS hi FROM f GROUP BY vec_id)
+    SELECT v.vec_id, {names}, CAST(6 AS INTEGER) AS width FROM v JOIN s USING (vec_id)"""
+
+
+def _logreg(steps: int = 12) -> str:
+    """Newton's method for an intercept and one weight, then the pipeline's metrics."""
+    assigned = f"a AS (SELECT o_orderkey, o_totalprice / 100000 AS x, CAST(o_orderstatus = 'F' AS INTEGER) AS c, {_random('o_orderkey', 3)} AS partition_id FROM orders)"
+    parts = ["w0 AS (SELECT 0e0 AS b, 0e0 AS m)"]
+    for i in range(steps):
+        parts.append(f"""g{i} AS (SELECT sum(pr - y) AS gb, sum((pr - y) * x) AS gm, sum(pr * (1 - pr)) AS hbb, sum(pr * (1 - pr) * x) AS hbm, sum(pr * (1 - pr) * x * x) AS hmm
+          FROM (SELECT y, x, 1 / (1 + exp(-(b + m * x))) AS pr FROM sp, w{i} WHERE role = 'train'))""")
+        parts.append(f"w{i + 1} AS (SELECT b - (hmm * gb - hbm * gm) / (hbb * hmm - hbm * hbm) AS b, m - (hbb * gm - hbm * gb) / (hbb * hmm - hbm * hbm) AS m FROM w{i}, g{i})")
+    return f"""WITH {_split(assigned, 'o_orderkey', 'c', 2)}, {', '.join(parts)},
+    pp AS (SELECT y, is_ood, 1 / (1 + exp(-(b + m * x))) AS pr FROM sp, w{steps} WHERE role = 'test'),
+    {_roc('SELECT 1 - greatest(pr, 1 - pr) AS score, is_ood AS pos FROM pp')}
+    SELECT CASE WHEN is_ood THEN 'ood' ELSE 'id' END AS scope, 'accuracy' AS metric, round(avg(CAST(y = CAST(pr > 0.5 AS INTEGER) AS DOUBLE)), 4) AS value FROM pp GROUP BY is_ood
+    UNION ALL SELECT 'global', 'auroc', round({_auroc()}, 4)
+    UNION ALL SELECT 'global', 'fpr@95tpr', round({_fpr()}, 4)"""
 
 
-def _lloyd(iterations: int = 5, k: int = 3) -> str:
+def _lloyd(iterations: int = 50, k: int = 3) -> str:
     steps = [f"""pt AS (SELECT o_orderkey, CAST(o_custkey AS DOUBLE) / 100 AS x, o_totalprice / 10000 AS y FROM orders),
     c0 AS (SELECT row_number() OVER (ORDER BY {_key('o_orderkey')}, o_orderkey) - 1 AS c, x, y FROM pt QUALIFY c < {k})"""]
     for i in range(iterations + 1):
@@ -231,10 +266,19 @@ ORACLES = {
     "kl_priorities": f"WITH {_PRIORITIES} SELECT round({_kl('p', 'q', 'h')}, 10) AS value",
     "js_priorities": f"WITH {_PRIORITIES} SELECT round({_js('h')}, 10) AS value",
     "knn_var_metafeature": _knn(),
+    "knn_metafeatures": _knn_metafeatures(),
+    "knn_summaries": _knn_summaries(),
     "kmeans_lloyd_labels": _lloyd(),
+    "logreg_scores": _logreg(),
+    "ood_scores": """WITH r AS (SELECT vec_id, embedding, list_transform(embedding[1:3], lambda v: exp(CAST(v AS DOUBLE))) AS raw FROM embeddings)
+      SELECT vec_id, round(1 - list_max(raw) / list_sum(raw), 9) AS by_probability, round(CAST(embedding[2] AS DOUBLE), 9) AS by_decision FROM r""",
     "nearest_centroid_pipeline": _pipeline(),
-    "dataset_union_splits": "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'source' ELSE 'target' END AS split_name FROM orders WHERE o_orderstatus IN ('F', 'O')",
-    "dataset_summary": "SELECT 'orders' AS name, CASE o_orderstatus WHEN 'F' THEN 'source' ELSE 'target' END AS split_name, count(*) AS n_rows, CAST(5 AS INTEGER) AS n_features FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY ALL",
+    "dataset_union_splits": "SELECT doc_id, NULL AS item_id, text, 'source' AS split_name FROM documents UNION ALL SELECT NULL, CAST(item_id AS VARCHAR), text, 'target' FROM benchmark",
+    "dataset_summary": "SELECT 'texts' AS name, split_name, count(*) AS n_rows, CAST(5 AS INTEGER) AS n_features FROM (SELECT 'source' AS split_name FROM documents UNION ALL SELECT 'target' FROM benchmark) GROUP BY split_name",
+    "dataset_parquet": "SELECT 'nations' AS name, CAST(NULL AS VARCHAR) AS split_name, count(*) AS n_rows, CAST(2 AS INTEGER) AS n_features, 'n_nationkey:int,n_name:string' AS feature_types FROM nation",
+    "dataset_csv_splits": "SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_nationkey, c_acctbal, c_mktsegment, CASE c_mktsegment WHEN 'BUILDING' THEN 'source' ELSE 'target' END AS split_name FROM customer",
+    "dataset_callable": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation",
+    "row_ids": "SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice) - 1 AS row_id FROM lineitem",
     "membership_semi_anti": "SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') THEN 'in' ELSE 'out' END AS side FROM orders",
     "index_set_algebra": """WITH a AS (SELECT DISTINCT user_id FROM events WHERE value > 5), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error')
       SELECT user_id, 'difference' AS kind FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT user_id, 'intersection' FROM (SELECT * FROM a INTERSECT SELECT * FROM b)""",

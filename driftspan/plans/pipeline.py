@@ -25,6 +25,10 @@ class PipelineResult:
     def counts(self) -> DataFrame:
         return split_counts(self.split)
 
+    def release(self) -> None:
+        """Lets go of the persisted split; frames read after that work it out anew."""
+        self.split.unpersist()
+
     def collect(self) -> MetricsResult:
         return MetricsEvaluator.collect(self.metrics)
 

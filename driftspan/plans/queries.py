@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from types import SimpleNamespace
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspan.functions import divergence
 from driftspan.operators.batch import MODES, BatchSampler
-from driftspan.operators.metrics import MetricsEvaluator, auroc, f1_weighted, fpr_at_tpr, roc_points
+from driftspan.operators.metrics import MetricsEvaluator, auroc, decision_score, f1_weighted, fpr_at_tpr, probability_score, roc_points
 from driftspan.operators.mf_kmeans import MFKMeansShift, assign_nearest, lloyd, metafeature_space
 from driftspan.operators.prep import Preprocessor
 from driftspan.operators.shifts import PARTITION, FeatureStratificationShift, NewClassShift, RandomPartitionShift, ShiftStrategy
 from driftspan.operators.split import TrainTestSplitter, split_counts
 from driftspan.plans.models import MLModel, NearestCentroidModel
 from driftspan.plans.pipeline import ShiftPipeline
-from driftspan.sources.datasets import SPLIT, ParquetDataset
+from driftspan.sources.datasets import SPLIT, CallableDataset, CSVDataset, ParquetDataset, with_row_id
 
 SEED = 42
 BATCH = 64
@@ -164,10 +168,10 @@ def _prep(features: list[str], **given: object):
 
 
 def prep_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fitted on even keys, applied to odd ones."""
+    """Fitted on even keys, applied to all."""
     rows = _gaps(spark, sf_dir)
     model = Preprocessor("standard", "onehot", "median").fit(rows.where("o_orderkey % 2 = 0"), ["price", "status"])
-    out = model.transform(rows.where("o_orderkey % 2 = 1"))
+    out = model.transform(rows)
     return out.select("o_orderkey", *(F.round(c, 6).alias(c) for c in out.columns if c != "o_orderkey"))
 
 
@@ -244,7 +248,8 @@ def js_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # neighbourhoods and clusters
 
-DIMS = 8
+#: Dimensions of the embeddings: all.
+DIMS = 64
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,6 +261,19 @@ def knn_var_metafeature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return space.select("vec_id", *(F.round(F.col("mf")[i], 6).alias(f"var{i}") for i in range(DIMS)))
 
 
+def knn_metafeatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbourhoods described by several metafeatures of the features and the label, one after the other."""
+    names = ["mean", "sd", "min", "max", "range", "nr_inst", "nr_attr", "inst_to_attr", "nr_class", "class_ent"]
+    space = metafeature_space(_vectors(spark, sf_dir), "vec_id", ["x0", "x1", "x2"], names, target="label")
+    return space.select("vec_id", *(F.round(F.col("mf")[i], 6).alias(f"m{i}") for i in range(3 * 5 + 5)))
+
+
+def knn_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbourhoods described by summaries of a metafeature, padded to the width of the first row's."""
+    space = metafeature_space(_vectors(spark, sf_dir), "vec_id", ["x0", "x1", "x2"], ["var", "freq_class"], target="label", summary=["min", "max", "range"])
+    return space.select("vec_id", *(F.round(F.col("mf")[i], 6).alias(f"m{i}") for i in range(6)), F.size("mf").alias("width"))
+
+
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.array((F.col("o_custkey") / 100).cast("double"), F.col("o_totalprice") / 10000)
     return _table(spark, sf_dir, "orders").select("o_orderkey", x.alias("x"))
@@ -263,13 +281,13 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kmeans_lloyd_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    centroids = lloyd(points, "o_orderkey", "x", 3, SEED, max_iter=5, patience=99)
+    centroids = lloyd(points, "o_orderkey", "x", 3, SEED)
     return points.select("o_orderkey", assign_nearest(F.col("x"), centroids).alias("label"))
 
 
 def mf_kmeans_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     strategy = MFKMeansShift([f"x{i}" for i in range(DIMS)], "vec_id", ["var", "mean"], n_partitions=3, seed=SEED)
-    return strategy.assign(_vectors(spark, sf_dir)).groupBy(PARTITION).agg(F.count("*").alias("n"))
+    return strategy.assign(_vectors(spark, sf_dir)).select("vec_id", PARTITION)
 
 
 # pipelines
@@ -292,26 +310,74 @@ def logreg_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found.metrics)
 
 
-# datasets
+def logreg_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logistic regression of the order status on the price, scored by 1 - the largest probability, end to end."""
+    price = F.col("o_totalprice") / 100000
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", price.alias("price"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    splitter = TrainTestSplitter("o_orderkey", "y", 2, 0.7, 0.3, (0, 1), (2,), seed=SEED)
+    model = MLModel(LogisticRegression(maxIter=200, tol=1e-12), ["price"], "y")
+    found = ShiftPipeline(model, RandomPartitionShift("o_orderkey", 3, seed=SEED), splitter, MetricsEvaluator()).run(orders)
+    return _rounded(found.metrics, 4)
 
 
-class _Named(ParquetDataset):
-    """Orders in named splits by status, as separate reads of one file would give them."""
+def ood_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two scores of a row: 1 - its largest class probability, and the raw score of the second of two classes."""
+    raw = F.transform(F.slice("embedding", 1, 3), lambda v: F.exp(v.cast("double")))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", raw.alias("raw"))
+    shares = F.transform("raw", lambda v: v / F.aggregate("raw", F.lit(0.0), lambda a, b: a + b))
+    return rows.select("vec_id", F.round(probability_score(shares), 9).alias("by_probability"), F.round(decision_score(F.slice("embedding", 1, 2)), 9).alias("by_decision"))
 
-    def load(self) -> DataFrame:
-        path = str(self.path)
-        parts = [self.read(path).where(F.col("o_orderstatus") == s).withColumn(SPLIT, F.lit(n)) for n, s in (("source", "F"), ("target", "O"))]
-        self.data = parts[0].unionByName(parts[1], allowMissingColumns=True)
-        return self.data
+
+# datasets
+
+
+def _named_splits(spark: SparkSession, sf_dir: str) -> ParquetDataset:
+    """Texts in two named splits of different columns."""
+    return ParquetDataset(spark, {"source": f"{sf_dir}/documents.parquet", "target": f"{sf_dir}/benchmark.parquet"}, "text", "texts")
 
 
 def dataset_union_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = _Named(spark, f"{sf_dir}/orders.parquet", "o_totalprice", "orders").load()
-    return data.select("o_orderkey", SPLIT)
+    return _named_splits(spark, sf_dir).load().select("doc_id", F.col("item_id").cast("string").alias("item_id"), "text", SPLIT)
 
 
 def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _Named(spark, f"{sf_dir}/orders.parquet", "o_totalprice", "orders").summary()
+    return _named_splits(spark, sf_dir).summary().drop("feature_types")
+
+
+def dataset_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary without splits, with the features' types."""
+    return ParquetDataset(spark, f"{sf_dir}/nation.parquet", "n_regionkey", "nations").summary()
+
+
+def _written_csv(spark: SparkSession, df: DataFrame, name: str) -> str:
+    """df as CSV files with a header, in the folder that the cluster shares."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftspan-csv-")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.option("header", True).csv(path)
+    return path
+
+
+def dataset_csv_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as CSV, one folder a split, and read back by the library."""
+    customers = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    paths = {name: _written_csv(spark, customers.where(f"c_mktsegment {op} 'BUILDING'"), name) for name, op in (("source", "="), ("target", "<>"))}
+    return CSVDataset(spark, paths, "c_acctbal", "customers").load().withColumn("c_custkey", F.col("c_custkey").cast("int"))
+
+
+def dataset_callable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations handed over by a callable, as a toy data set would be, named in a configuration."""
+    rows = _table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows
+
+    def loader() -> SimpleNamespace:
+        return SimpleNamespace(data=[[r["n_nationkey"]] for r in rows], feature_names=["n_nationkey"], target=[r["n_regionkey"] for r in rows])
+
+    return CallableDataset(spark, loader, "nations", "n_regionkey").load()
+
+
+def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row numbers by position, for a table without a key."""
+    items = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return with_row_id(items, order=["l_orderkey", "l_linenumber", "l_extendedprice"])
 
 
 # implicit relational operators
@@ -370,12 +436,20 @@ QUERIES = {
     "kl_priorities": kl_priorities,
     "js_priorities": js_priorities,
     "knn_var_metafeature": knn_var_metafeature,
+    "knn_metafeatures": knn_metafeatures,
+    "knn_summaries": knn_summaries,
     "kmeans_lloyd_labels": kmeans_lloyd_labels,
     "mf_kmeans_full": mf_kmeans_full,
     "nearest_centroid_pipeline": nearest_centroid_pipeline,
     "logreg_pipeline": logreg_pipeline,
+    "logreg_scores": logreg_scores,
+    "ood_scores": ood_scores,
     "dataset_union_splits": dataset_union_splits,
     "dataset_summary": dataset_summary,
+    "dataset_parquet": dataset_parquet,
+    "dataset_csv_splits": dataset_csv_splits,
+    "dataset_callable": dataset_callable,
+    "row_ids": row_ids,
     "membership_semi_anti": membership_semi_anti,
     "index_set_algebra": index_set_algebra,
 }

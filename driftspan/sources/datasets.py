@@ -7,7 +7,7 @@ from collections.abc import Callable
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +28,14 @@ def with_row_id(df: DataFrame, name: str = "row_id", order: list[str] | None = N
     """A unique bigint by position, for tables without a key. Write the result before using it twice."""
     if order:
         df = df.orderBy(*order)
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    placed = df.withColumn("__place", F.monotonically_increasing_id())
+    part = F.shiftright("__place", 33).alias("__part")  # the task's number, above its rows' numbers
+    sizes = placed.groupBy(part).agg(F.count("*").alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.col("__part").alias("__of"), before.alias("__before"))  # a row a task
+    numbered = placed.withColumn("__part", part).join(F.broadcast(offsets), F.col("__part") == F.col("__of"))
+    within = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.select(*df.columns, (within + F.col("__before")).alias(name))
 
 
 class Dataset(ABC):
@@ -65,11 +71,12 @@ class Dataset(ABC):
         return {n: df.where(F.col(SPLIT) == n) for n in names}
 
     def summary(self) -> DataFrame:
-        """(name, split_name, n_rows, n_features) a split, or one row without splits."""
+        """(name, split_name, n_rows, n_features, feature_types) a split, or one row without splits; types as "name:type" in order."""
         df = self._loaded()
         split = F.col(SPLIT) if SPLIT in df.columns else F.lit(None).cast("string")
         counts = df.groupBy(split.alias(SPLIT)).agg(F.count("*").alias("n_rows"))
-        return counts.select(F.lit(self.name).alias("name"), SPLIT, "n_rows", F.lit(len(self.features)).alias("n_features"))
+        types = ",".join(f"{c}:{kind}" for c, kind in self.feature_types.items())
+        return counts.select(F.lit(self.name).alias("name"), SPLIT, "n_rows", F.lit(len(self.features)).alias("n_features"), F.lit(types).alias("feature_types"))
 
     def print_summary(self) -> None:
         rows = self.summary().collect()

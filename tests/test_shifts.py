@@ -3,7 +3,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from driftspan.operators.mf_kmeans import MFKMeansShift, lloyd, metafeature_space, neighbours
+from driftspan.operators.metafeatures import extract
+from driftspan.operators.mf_kmeans import MFKMeansShift, lloyd, metafeature_space, nearest, neighbours
 from driftspan.operators.shifts import FeatureStratificationShift, NewClassShift, RandomPartitionShift
 
 
@@ -106,3 +107,46 @@ def test_kmeans_finds_separate_groups(spark):
     assert len(set(found.values())) == 2 and len(strategy.centroids) == 2
     with pytest.raises(ValueError, match="Unsupported metafeature"):
         MFKMeansShift(["a"], "row_id", "nothing").assign(frame)
+
+
+def plain_lloyd(x, centres, rounds):
+    for _ in range(rounds):
+        label = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.array([x[label == c].mean(axis=0) if (label == c).any() else centres[c] for c in range(len(centres))])
+    return centres
+
+
+@pytest.mark.parametrize("dims", [2, 40])
+def test_lloyd_equals_plain_iterations(spark, dims):
+    """Short vectors take one aggregate of expressions, long ones sums of batches."""
+    r = np.random.default_rng(dims)
+    x = r.normal(size=(90, dims)) + r.integers(0, 3, 90)[:, None] * 2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, x array<double>").repartition(3)
+    start = x[:3] + 0.1
+    for rounds in (1, 4, 30):
+        got = lloyd(df, "row_id", "x", 3, max_iter=rounds, patience=99, init=start.tolist())
+        assert np.allclose(got, plain_lloyd(x, start, rounds))
+
+
+def test_nearest_takes_the_least_ids_of_equally_far_rows():
+    matrix = np.array([[0.0], [1.0], [-1.0], [1.0], [2.0], [0.5]])
+    got = nearest(matrix, np.arange(6), matrix, np.arange(6), 2)
+    want = [sorted((round(abs(a[0] - b[0]), 9), j) for j, b in enumerate(matrix) if j != i)[:2] for i, a in enumerate(matrix)]
+    assert got.tolist() == [[j for _, j in w] for w in want]
+
+
+def test_entropies_of_continuous_columns_are_of_bins():
+    x = np.random.default_rng(0).normal(size=(64, 2))
+    y = (x[:, 0] > 0).astype(str)
+    entropy, mutual = extract(["attr_ent"], x, None), extract(["mut_inf"], x, y)
+    assert np.allclose(entropy, 2, atol=0.01)  # four bins, equally full
+    assert mutual[0] > 0.9 > 0.3 > mutual[1]
+    few = np.array([[1.0], [1.0], [2.0], [2.0]] * 20)
+    assert np.allclose(extract(["attr_ent"], few, None), 1)
+
+
+def test_many_strings_are_numbered_by_first_appearance(spark):
+    rows = [(i, f"s{(i * 7) % 50}" if i % 11 else None) for i in range(200)]
+    found = ids(FeatureStratificationShift(["s"], "row_id", 2).assign(spark.createDataFrame(rows, "row_id long, s string").repartition(4)))
+    order = list(dict.fromkeys(s for _, s in rows))
+    assert found == {i: order.index(s) for i, s in rows}
