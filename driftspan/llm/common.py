@@ -67,11 +67,13 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        self.paths: list[str] = []
 
     def save(self, df: DataFrame, release: bool = False) -> DataFrame:
         """df as a stored table; with release, shuffle files that were needed for it may go."""
         self.count += 1
         path = f"{self.root}/t{self.count}"
+        self.paths.append(path)
         df.write.parquet(path)
         if release:
             settle(self.spark)
@@ -81,8 +83,16 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(t._scratch_path)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        for path in set(self.paths) - {t._scratch_path for t in tables}:
+            self._delete(path)
+
+    def _delete(self, place: str) -> None:
+        self.paths.remove(place)
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows (id, key) that keep_rows broadcasts at most, two numbers each.

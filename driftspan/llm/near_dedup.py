@@ -331,12 +331,14 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", tex
     classes = rows.where("n > 0").groupBy("n", "digest").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = scratch.save(classes)
     comps = _Linker(scratch, docs, classes.where("rep IS NOT NULL").select("rep", "n", "sketch"), size, id_col, text_col).links()
+    scratch.drop_all_but(*(t for t in (rows, classes, comps) if t is not None))
     named = classes.select("n", "digest", "rep")
     if comps is None:
         named = named.withColumn("comp", F.col("rep"))
     else:
         named = named.join(comps, F.col("rep") == F.col("node"), "left").select("n", "digest", "rep", F.coalesce("comp", "rep").alias("comp"))
     named = scratch.save(named)
+    scratch.drop_all_but(rows, named)
     out = rows.drop("sketch").join(named, ["n", "digest"], "left")
     comp = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("class_id"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"), "text_key")

@@ -22,10 +22,13 @@ MODULES = [
 ]
 
 
+#: Imported with this module, so whoever can import it has all of them.
+_LOADED = {query: import_module(f"driftspan.llm.{module}") for module, query in MODULES}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query: getattr(import_module(f"driftspan.llm.{module}"), query) for module, query in MODULES}
+    return {query: getattr(module, query) for query, module in _LOADED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {query: getattr(import_module(f"driftspan.llm.{module}"), "ORACLE", None) for module, query in MODULES}
-    return {query: sql for query, sql in found.items() if sql}
+    return {query: module.ORACLE for query, module in _LOADED.items() if getattr(module, "ORACLE", None)}
