@@ -278,6 +278,19 @@ ORACLES = {
     "dataset_parquet": "SELECT 'nations' AS name, CAST(NULL AS VARCHAR) AS split_name, count(*) AS n_rows, CAST(2 AS INTEGER) AS n_features, 'n_nationkey:int,n_name:string' AS feature_types FROM nation",
     "dataset_csv_splits": "SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_nationkey, c_acctbal, c_mktsegment, CASE c_mktsegment WHEN 'BUILDING' THEN 'source' ELSE 'target' END AS split_name FROM customer",
     "dataset_callable": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation",
+    "dataset_config": "SELECT i, i * i / 4e0 AS square, i % 3 AS y, CAST(n_regionkey AS BIGINT) AS region FROM range(12) t(i) JOIN nation ON n_nationkey = i",
+    "dataset_custom": "SELECT p AS package, CAST(length(p) AS INTEGER) AS y FROM (VALUES ('functions'), ('operators'), ('plans'), ('sources'), ('streaming')) t(p)",
+    "rejected_arguments": """SELECT * FROM (VALUES
+      ('abstract source', 'TypeError'),
+      ('batch mode', 'ValueError: Unknown mode: nothing'),
+      ('divergence', 'ValueError: Unknown divergence method: nothing'),
+      ('empty partitions', (SELECT 'ValueError: segments: partitions [' || string_agg(i, ', ' ORDER BY i) || '] are empty.' FROM range(8) t(i) WHERE i >= (SELECT count(DISTINCT c_mktsegment) FROM customer))),
+      ('feature', 'ValueError: Feature ''missing'' not in DataFrame columns'),
+      ('metric task', 'ValueError: Unknown task: nothing'),
+      ('path type', 'ValueError: path must be a string, a Path or a dict of split names to paths'),
+      ('scaling', 'ValueError: Unknown scaling: nothing'),
+      ('split mode', 'ValueError: Unknown mode: 9'),
+      ('target', 'ValueError: Target column ''missing'' not found in dataset')) t("case", error)""",
     "row_ids": "SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice) - 1 AS row_id FROM lineitem",
     "membership_semi_anti": "SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') THEN 'in' ELSE 'out' END AS side FROM orders",
     "index_set_algebra": """WITH a AS (SELECT DISTINCT user_id FROM events WHERE value > 5), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error')

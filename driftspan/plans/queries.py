@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 from types import SimpleNamespace
 
 from pyspark.ml.classification import LogisticRegression
@@ -19,7 +20,8 @@ from driftspan.operators.shifts import PARTITION, FeatureStratificationShift, Ne
 from driftspan.operators.split import TrainTestSplitter, split_counts
 from driftspan.plans.models import MLModel, NearestCentroidModel
 from driftspan.plans.pipeline import ShiftPipeline
-from driftspan.sources.datasets import SPLIT, CallableDataset, CSVDataset, ParquetDataset, with_row_id
+from driftspan.sources.config import instantiate
+from driftspan.sources.datasets import SPLIT, CallableDataset, CSVDataset, Dataset, ParquetDataset, project_path, with_row_id
 
 SEED = 42
 BATCH = 64
@@ -374,6 +376,57 @@ def dataset_callable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CallableDataset(spark, loader, "nations", "n_regionkey").load()
 
 
+def toy_rows() -> SimpleNamespace:
+    """A small data set, as a configuration's loader returns it."""
+    return SimpleNamespace(data=[[i, i * i / 4] for i in range(12)], feature_names=["i", "square"], target=[i % 3 for i in range(12)])
+
+
+def dataset_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data sets built from configurations: a file by a registered name, and a callable by its dotted name."""
+    toy = instantiate({"_target_": "callable", "loader": f"{__name__}.toy_rows", "name": "toy", "target": "y"}, spark)
+    nations = instantiate(f'{{"_target_": "parquet", "path": "{sf_dir}/nation.parquet", "target": "n_regionkey", "name": "nations"}}', spark)
+    rows = toy.load().select("i", "square", "y")
+    return rows.join(nations.load().select(F.col("n_nationkey").cast("long").alias("i"), F.col("n_regionkey").cast("long").alias("region")), "i")
+
+
+class _Toy(Dataset):
+    """A user's own source, found below the project's folder."""
+
+    def load(self) -> DataFrame:
+        found = sorted(p.name for p in Path(project_path(), "driftspan").iterdir() if p.is_dir() and p.name in ("functions", "operators", "plans", "sources", "streaming"))
+        self.data = self.spark.createDataFrame([(name, len(name)) for name in found], "package string, y int")
+        return self.data
+
+
+def dataset_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _Toy(spark, "y").load()
+
+
+def rejected_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(case, error): what the operators say of arguments that they cannot take."""
+    customers = _table(spark, sf_dir, "customer")
+    gaps = FeatureStratificationShift(["c_mktsegment"], "c_custkey", 8, name="segments")
+    cases = {
+        "abstract source": lambda: Dataset(spark, "y"),
+        "batch mode": lambda: BatchSampler("c_custkey").mode_batch(customers.withColumn(PARTITION, F.lit(0)), "nothing"),
+        "divergence": lambda: divergence.histogram_divergence(customers, "c_acctbal", F.lit(True), method="nothing"),
+        "empty partitions": lambda: gaps.validate(gaps.assign(customers)),
+        "feature": lambda: FeatureStratificationShift(["missing"], "c_custkey").assign(customers),
+        "metric task": lambda: MetricsEvaluator("nothing"),
+        "path type": lambda: ParquetDataset(spark, 7, "y"),
+        "scaling": lambda: Preprocessor("nothing"),
+        "split mode": lambda: _splitter(9).split(_orders(spark, sf_dir)),
+        "target": lambda: ParquetDataset(spark, f"{sf_dir}/nation.parquet", "missing").load(),
+    }
+    said = []
+    for case, call in cases.items():
+        try:
+            call()
+        except (TypeError, ValueError) as e:
+            said.append((case, type(e).__name__ + ("" if isinstance(e, TypeError) else f": {e}")))
+    return spark.createDataFrame(said, "case string, error string")
+
+
 def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row numbers by position, for a table without a key."""
     items = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
@@ -449,6 +502,9 @@ QUERIES = {
     "dataset_parquet": dataset_parquet,
     "dataset_csv_splits": dataset_csv_splits,
     "dataset_callable": dataset_callable,
+    "dataset_config": dataset_config,
+    "dataset_custom": dataset_custom,
+    "rejected_arguments": rejected_arguments,
     "row_ids": row_ids,
     "membership_semi_anti": membership_semi_anti,
     "index_set_algebra": index_set_algebra,
