@@ -10,7 +10,7 @@ import hashlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: The six ASCII white-space bytes: space and 09 to 0D.
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
 #: Bytes of text that one vectorised step takes (a longer single text is a step of its own).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,7 +113,8 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame, key: Column, id_col: str = "
     def asked(rows: DataFrame) -> DataFrame:
         return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
-    same = docs[id_col].eqNullSafe(F.col("__id__")) & (key == F.col("__key__"))
+    # not an equality of two sides, so it is no join key and only rows whose id has been found work it out
+    same = docs[id_col].eqNullSafe(F.col("__id__")) & (key.bitwiseXOR(F.col("__key__")) == 0)
     out = docs.join(asked(found.select("__id__", "__key__")), same, "left_anti")
     repeated = found.where("__kept__").select("__id__", "__key__")
     if not repeated.isEmpty():
@@ -122,17 +123,32 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame, key: Column, id_col: str = "
     return out
 
 
-def settle(spark: SparkSession) -> None:
-    """Let Spark drop what no plan can reach any more: shuffle files, broadcasts; and give freed memory back."""
-    gc.collect()
+def release_memory() -> None:
+    """Gives memory that this process has freed back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
         pass
+
+
+def settle(spark: SparkSession) -> None:
+    """Let Spark drop what no plan can reach any more: shuffle files, broadcasts; and give the driver's freed memory back."""
+    gc.collect()
+    release_memory()
     spark.sparkContext._jvm.System.gc()
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving freed memory back at a task's end: Python workers live on from stage to stage."""
+
+    def frugally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return frugally
+
+
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows [lo, hi) of an Arrow string column with their UTF-8 bytes and hi-lo+1 offsets; null is empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from driftspan.llm.common import FOLD, Scratch, read_table
+from driftspan.llm.common import FOLD, Scratch, frugal, read_table
 
 WINDOW = 13
 #: A document is contaminated if SHARE * hit words >= words.
@@ -161,8 +161,8 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, place: int, fin
         return step
 
     for k in range(len(blocks) - 1):
-        docs = scratch.save(docs.mapInArrow(scan(k), between))
-    return docs.mapInArrow(scan(len(blocks) - 1), schema)
+        docs = scratch.save(docs.mapInArrow(frugal(scan(k)), between))
+    return docs.mapInArrow(frugal(scan(len(blocks) - 1)), schema)
 
 
 def covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:

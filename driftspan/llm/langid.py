@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspan.llm.common import FOLD, read_table, text_slices, word_spans
+from driftspan.llm.common import FOLD, frugal, read_table, text_slices, word_spans
 
 #: Labelled rows that the model is fitted on, about.
 SAMPLE_ROWS = 20_000
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, trained: Column, sample_rows: int = SAMPLE_ROWS, id_col
         return [], np.zeros((1 << BITS, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool)
     below = F.create_map(*[F.lit(x) for lang, share in sample_shares(by_lang, sample_rows).items() for x in (lang, int(share * (1 << 30)))])
     sample = labelled.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) < below[F.col(lang_col)]).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
-    counted = sample.mapInArrow(lambda batches: _count(batches, langs), "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(frugal(lambda batches: _count(batches, langs)), "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     counts = np.zeros((len(langs), (1 << BITS) + N_SCRIPTS))
     found = counted.toPandas()  # bounded: languages x features
     counts[found["lang"], found["feature"]] = found["n"]
@@ -314,7 +314,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, span)], ["id", "lang_pred", "score", "spans"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, spans array<struct<lang:string,words:long>>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(frugal(run), f"id {kind}, lang_pred string, score double, spans array<struct<lang:string,words:long>>").withColumnRenamed("id", id_col)
 
 
 def remainder(doc_id: str, mod: int) -> Column:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspan.llm.common import FOLD, SPACE_BYTES, Scratch, byte_class, gram_hashes, keep_rows, mix, read_table, text_slices, word_hashes, word_spans
+from driftspan.llm.common import FOLD, SPACE_BYTES, Scratch, byte_class, frugal, gram_hashes, keep_rows, mix, read_table, text_slices, word_hashes, word_spans
 
 SHINGLE = 5
 #: The contract's query takes shorter shingles.
@@ -110,7 +110,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _long_lists(sketch)], ["id", "text_key", "n", "digest", "sketch"])
 
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"id {kind}, text_key long, n long, digest binary, sketch array<long>")
+    return rows.mapInArrow(frugal(run), f"id {kind}, text_key long, n long, digest binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,7 +126,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int = SHINGLE, id_col: str
             sets = [*shingle_sets(batch.column(1), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_digest(s) for s in sets], pa.binary()), _long_lists(sets)], ["id", "digest", "items"])
 
-    return rows.mapInArrow(run, f"id {kind}, digest binary, items array<long>")
+    return rows.mapInArrow(frugal(run), f"id {kind}, digest binary, items array<long>")
 
 
 def similar_sizes(a: Column, b: Column) -> Column:
@@ -186,7 +186,7 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame | None:
     """
     schema = ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in "ab")
     ordered = lambda e: e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    edges = scratch.save(ordered(edges).mapInArrow(_forest, schema))
+    edges = scratch.save(ordered(edges).mapInArrow(frugal(_forest), schema))
     found: DataFrame | None = None
     while (left := edges.count()) > LINKS_TOGETHER:
         down = scratch.save(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("comp")))
@@ -201,9 +201,9 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame | None:
         ends = down.select(F.col("node").alias("via"), F.col("comp").alias("end"))
         rest = edges.join(ends, F.col("a") == F.col("via"), "left").select(F.coalesce("end", "a").alias("a"), "b")
         rest = rest.join(ends, F.col("b") == F.col("via"), "left").select("a", F.coalesce("end", "b").alias("b"))
-        edges = scratch.save(ordered(rest).distinct().mapInArrow(_forest, schema))
+        edges = scratch.save(ordered(rest).distinct().mapInArrow(frugal(_forest), schema))
     if left:
-        last = scratch.save(edges.coalesce(1).mapInArrow(_forest, schema).select(F.col("b").alias("node"), F.col("a").alias("comp")))
+        last = scratch.save(edges.coalesce(1).mapInArrow(frugal(_forest), schema).select(F.col("b").alias("node"), F.col("a").alias("comp")))
         found = last if found is None else _moved(found, last)
     if found is None:
         return None

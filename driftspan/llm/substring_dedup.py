@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspan.llm.common import SPACE_BYTES, Scratch, as_digests, byte_class, gram_hashes, range_hashes, read_table, text_slices, word_hashes, word_spans
+from driftspan.llm.common import SPACE_BYTES, Scratch, as_digests, byte_class, frugal, gram_hashes, range_hashes, read_table, text_slices, word_hashes, word_spans
 from driftspan.llm.fm_index import FMIndex
 
 WINDOW = 50
@@ -90,7 +90,7 @@ def segments(docs: DataFrame, window: int, gram: int, id_col: str, text_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array((start - first[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key), body], names)
 
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"doc {kind}, start int, n int, key long, body binary")
+    return rows.mapInArrow(frugal(run), f"doc {kind}, start int, n int, key long, body binary")
 
 
 def contents(docs: DataFrame, classes: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
@@ -117,7 +117,7 @@ def contents(docs: DataFrame, classes: DataFrame, window: int, id_col: str, text
                 ids = batch.column(0).take(pa.array(out[0], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(out[1:], (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True))], names)
 
-    return rows.join(asked, F.col("id") == F.col("doc")).select("id", "t", "asked").mapInArrow(run, f"doc {kind}, start int, n int, key long, body binary, words binary")
+    return rows.join(asked, F.col("id") == F.col("doc")).select("id", "t", "asked").mapInArrow(frugal(run), f"doc {kind}, start int, n int, key long, body binary, words binary")
 
 
 def shard_matches(docs: list, words: list[bytes], window: int) -> list[list[tuple[int, int]]]:
@@ -167,7 +167,7 @@ def hot_matches(content: DataFrame, window: int) -> DataFrame:
                 place = at - np.searchsorted(rows, row)
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(place.astype(np.int32)), as_digests(h[0][at], h[1][at])], names)
 
-    windows = content.select("doc", "key", "body", "n", "words").mapInArrow(run, f"doc {kind}, key long, body binary, n int, lo int, w binary")
+    windows = content.select("doc", "key", "body", "n", "words").mapInArrow(frugal(run), f"doc {kind}, key long, body binary, n int, lo int, w binary")
     least = windows.groupBy("w").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("w", "least")
     hit = windows.join(least, "w").where(F.col("doc") > F.col("least"))
     return hit.select("key", "body", "n", "lo", (F.col("lo") + 1).alias("hi")).distinct()
@@ -236,9 +236,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
         ids = F.broadcast(spans.select("doc"))
         touched = rows.join(ids, F.col("id") == F.col("doc"), "left_semi").join(spans, F.col("id") == F.col("doc")).select("id", "t", "spans")
         untouched = rows.join(ids, F.col("id") == F.col("doc"), "left_anti")
-        out = touched.mapInArrow(run, schema).unionByName(untouched.mapInArrow(run, schema))
+        out = touched.mapInArrow(frugal(run), schema).unionByName(untouched.mapInArrow(frugal(run), schema))
     else:
-        out = rows.join(spans, F.col("id") == F.col("doc"), "left").select("id", "t", "spans").mapInArrow(run, schema)
+        out = rows.join(spans, F.col("id") == F.col("doc"), "left").select("id", "t", "spans").mapInArrow(frugal(run), schema)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspan.llm.common import FOLD, Scratch, byte_class, read_table, text_slices, word_hashes, word_spans
+from driftspan.llm.common import FOLD, Scratch, byte_class, frugal, read_table, settle, text_slices, word_hashes, word_spans
 
 #: Words of a window, and words from one window's start to the next; the last window ends with the text.
 WINDOW, STRIDE = 48, 24
 #: Labelled rows of a class that training takes, about, with all their windows; fewer rows if these would be more windows.
 SAMPLE_ROWS = 2000
-TRAIN_WINDOWS = 60_000
+TRAIN_WINDOWS = 30_000
 WORD_BITS, CHAR_BITS = 16, 16
 #: Bytes of an n-gram; it ends where the word begins.
 GRAM = 6
@@ -45,6 +45,8 @@ SPREAD = np.float32(3)
 EMBED, HIDDEN, ATTEND = 8, 12, 8
 #: Training texts whose features are made together.
 ROWS_TOGETHER = 256
+#: Training words whose evidence is summed together.
+WORDS_TOGETHER = 100_000
 #: Standard errors of a label's evidence for a word that are ignored.
 EVIDENCE = 2.2
 #: Learning rates: of embeddings as a share of the rest's.
@@ -224,8 +226,8 @@ class _Windows:
                 for label in (0, 1):
                     mine = pairs[(toxic[pairs >> bits] > 0) == label] & ((1 << bits) - 1)
                     tally[bits][label] += np.bincount(mine, minlength=1 << bits)
-            words.append(w)
-            grams.append(g)
+            words.append(w.astype(np.uint16))
+            grams.append(g.astype(np.uint16))
             starts.append((s + base).astype(np.int32))
             ends.append((e + base).astype(np.int32))
             base += int(off[-1])
@@ -262,13 +264,14 @@ def evidence(tally: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[bytes], row: np.ndarray, toxic: np.ndarray, seed: int = SEED, batch: int = 256) -> Network:
-    """texts: windows; row: the text each is of; toxic: each text's label. A small sample is passed over more often."""
+    """texts: windows, a list that is emptied; row: the text each is of; toxic: each text's label. A small sample is passed over more often."""
     net = Network(seed)
     if not len(texts) or toxic.min() == toxic.max():
         net.constant = float(toxic.mean()) if len(toxic) else 0.0
         return net
     row = np.asarray(row)
     w = _Windows(texts, toxic, row)
+    texts.clear()  # the features are all that is needed
     usable = np.flatnonzero(w.count > 0)
     r, adam = np.random.default_rng(seed), _Adam(RATE)
     net.p["word"][:, 0] = evidence(w.tally[WORD_BITS], toxic)
@@ -298,12 +301,13 @@ def train(texts: list[bytes], row: np.ndarray, toxic: np.ndarray, seed: int = SE
 
 def _window_evidence(net: Network, w: _Windows) -> np.ndarray:
     """Sum over each window's words of their evidence and their n-grams', where it speaks for toxic texts."""
-    cuts = np.stack([w.starts, w.ends], 1).ravel()
-    grams = net.p["char"][:, 0][w.grams]
-    if len(cuts) and cuts[-1] == len(grams):
-        cuts = cuts[:-1]
-    own = np.maximum(net.p["word"][w.words, 0] + np.add.reduceat(grams, cuts)[::2] / SPREAD, 0)
-    total = np.concatenate([[0], np.cumsum(own, dtype=np.float64)])
+    own = np.empty(len(w.words))
+    for lo in range(0, len(own), WORDS_TOGETHER):
+        starts, ends = w.starts[lo : lo + WORDS_TOGETHER], w.ends[lo : lo + WORDS_TOGETHER]
+        grams = np.append(net.p["char"][:, 0][w.grams[starts[0] : ends[-1]]], np.float32(0))
+        cuts = np.stack([starts, ends], 1).ravel() - starts[0]
+        own[lo : lo + len(starts)] = np.maximum(net.p["word"][w.words[lo : lo + len(starts)], 0] + np.add.reduceat(grams, cuts)[::2] / SPREAD, 0)
+    total = np.concatenate([[0], np.cumsum(own)])
     return total[w.first + w.count] - total[w.first]
 
 
@@ -442,15 +446,19 @@ def fit(docs: DataFrame, labels: DataFrame, trained: Column, sample_rows: int =
     sample = rows.select("toxic", "t", F.xxhash64(F.col("id").cast("string")).alias("row"))
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample = scratch.save(sample)  # a bounded number of rows
-    sizes = sample.mapInArrow(_counted_windows, "row long, toxic int, windows long").toArrow()
+    sizes = sample.mapInArrow(frugal(_counted_windows), "row long, toxic int, windows long").toArrow()
     chosen = _fitting_rows(*(sizes[c].to_numpy() for c in ("row", "toxic", "windows")), train_windows)
-    windows = sample.mapInArrow(lambda b: _sampled_windows(b, chosen), "row long, toxic int, text binary").toArrow()
-    texts, of, label = windows["text"].to_pylist(), windows["row"].to_numpy(), windows["toxic"].to_numpy()
-    order = sorted(range(len(texts)), key=lambda i: (of[i], texts[i]))  # the same model, however the rows were split
-    ids, row = np.unique(of[order], return_inverse=True)
+    windows = sample.mapInArrow(frugal(lambda b: _sampled_windows(b, chosen)), "row long, toxic int, text binary").toArrow()
+    windows = windows.sort_by([("row", "ascending"), ("text", "ascending")])  # the same model, however the rows were split
+    ids, row = np.unique(windows["row"].to_numpy(), return_inverse=True)
     toxic = np.zeros(len(ids), np.int64)
-    toxic[row] = (label[order] > 0).astype(np.int64)
-    net = train([texts[i] for i in order], row, toxic)
+    toxic[row] = windows["toxic"].to_numpy() > 0
+    texts = windows["text"].to_pylist()
+    del windows
+    settle(docs.sparkSession)
+    net = train(texts, row, toxic)
+    texts.clear()
+    settle(docs.sparkSession)
     if net.constant is None:
         net.calibration = calibrate(net, sample, counts)
     scratch.drop(sample)
@@ -469,7 +477,7 @@ def calibrate(net: Network, sample: DataFrame, counts: dict[int, int]) -> np.nda
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, features.shape[1], dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(windows), lists], ["row", "toxic", "windows", "x"])
 
-    found = sample.mapInArrow(run, "row long, toxic int, windows long, x array<double>").where("windows > 0").toArrow().sort_by("row")  # a row a sampled text
+    found = sample.mapInArrow(frugal(run), "row long, toxic int, windows long, x array<double>").where("windows > 0").toArrow().sort_by("row")  # a row a sampled text
     x = np.array(found["x"].to_pylist()).reshape(found.num_rows, -1)
     shared.destroy()
     y = (found["toxic"].to_numpy() > 0).astype(np.float64)
@@ -489,7 +497,7 @@ def toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(windows)], ["id", "score", "predicted", "n_windows"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"id {kind}, score double, predicted int, n_windows long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(frugal(run), f"id {kind}, score double, predicted int, n_windows long").withColumnRenamed("id", id_col)
 
 
 def drop_toxic(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
@@ -501,7 +509,7 @@ def drop_toxic(docs: DataFrame, net: Network, text_col: str = "text") -> DataFra
         for batch in batches:
             yield batch.filter(pa.array(score_texts(shared.value, batch.column(place))[0] < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def fit_contract(spark: SparkSession, sf_dir: str) -> Network:
