@@ -15,7 +15,8 @@ A word goes if it lies in a window of WINDOW words that also starts in a documen
 4. A key whose classes hold more than HOT_WORDS words (a passage that very many documents share,
    each in other surroundings) would overfill a shard. Its segments are cut into single windows
    with the window's own 128-bit digest as key; there equal keys are equal windows, summed up by
-   partial aggregates, so such a key is spread over tasks by its windows.
+   partial aggregates, so such a key is spread over tasks by its windows. A window that a class
+   repeats is one row, and so is a run of windows that go.
 5. Spans are gathered per document and joined with the texts; documents without a span are
    read without a shuffle while the others are few enough to broadcast their ids.
 
@@ -148,10 +149,10 @@ def indexed_matches(content: DataFrame, n_shards: int, window: int) -> DataFrame
     return dealt.groupBy("shard").applyInArrow(run, _MATCH)
 
 
-def hot_matches(content: DataFrame, window: int) -> DataFrame:
-    """The same for classes of hot keys, window by window with its own hash as key."""
+def class_windows(content: DataFrame, window: int) -> DataFrame:
+    """(doc, key, body, n, w, places): each different window of a class, by its digest, with the places where it starts."""
     kind = content.schema["doc"].dataType.simpleString()
-    names = ["doc", "key", "body", "n", "lo", "w"]
+    names = ["doc", "key", "body", "n", "w", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,15 +163,44 @@ def hot_matches(content: DataFrame, window: int) -> DataFrame:
                     continue
                 h = [gram_hashes(words, window, lane) for lane in (0, 1)]
                 at = np.flatnonzero(rows[: len(rows) - window + 1] == rows[window - 1 :])
-                row = rows[at]
-                part = batch.slice(lo, hi - lo).take(pa.array(row))
-                place = at - np.searchsorted(rows, row)
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(place.astype(np.int32)), as_digests(h[0][at], h[1][at])], names)
-
-    windows = content.select("doc", "key", "body", "n", "words").mapInArrow(frugal(run), f"doc {kind}, key long, body binary, n int, lo int, w binary")
+                at = at[np.lexsort((at, h[1][at], h[0][at], rows[at]))]
+                row, h = rows[at], [x[at] for x in h]
+                new = np.ones(len(at), bool)
+                new[1:] = (row[1:] != row[:-1]) | (h[0][1:] != h[0][:-1]) | (h[1][1:] != h[1][:-1])
+                first = np.flatnonzero(new)
+                part = batch.slice(lo, hi - lo).take(pa.array(row[first]))
+                places = (at - np.searchsorted(rows, row)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(places))
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], as_digests(h[0][first], h[1][first]), lists], names)
+
+    rows = content.select("doc", "key", "body", "n", "words")
+    return rows.mapInArrow(frugal(run), f"doc {kind}, key long, body binary, n int, w binary, places array<int>")
+
+
+def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs [lo, hi) of each row's places."""
+    for batch in batches:
+        places = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(batch.num_rows), batch.column(3).value_lengths().to_numpy(zero_copy_only=False))
+        order = np.lexsort((places, row))
+        row, places = row[order], places[order]
+        # a place may be given twice, by rows that repeat an id
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (places[1:] > places[:-1] + 1)
+        last = np.append(new[1:], np.ones(min(len(row), 1), bool))
+        out = batch.take(pa.array(row[new]))
+        yield pa.RecordBatch.from_arrays([*out.columns[:3], pa.array(places[new]), pa.array(places[last] + np.int32(1))], ["key", "body", "n", "lo", "hi"])
+
+
+def hot_matches(scratch: Scratch, content: DataFrame, window: int) -> DataFrame:
+    """The same for classes of hot keys, window by window with its own hash as key; one row a run of such windows."""
+    windows = class_windows(content, window)
     least = windows.groupBy("w").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("w", "least")
-    hit = windows.join(least, "w").where(F.col("doc") > F.col("least"))
-    return hit.select("key", "body", "n", "lo", (F.col("lo") + 1).alias("hi")).distinct()
+    least = scratch.save(least)
+    few = least.count() <= BROADCAST_IDS
+    hit = windows.join(F.broadcast(least) if few else least, "w").where(F.col("doc") > F.col("least"))
+    places = hit.groupBy("key", "body", "n").agg(F.flatten(F.collect_list("places")).alias("places"))  # of one class
+    return places.mapInArrow(frugal(_intervals), _MATCH)
 
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,7 +223,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
         matches = scratch.save(indexed_matches(content, -(-total // SHARD_WORDS), window), release=True)
     if hot.limit(1).count():
         content = scratch.save(contents(docs, classes.join(hot.select("key"), "key", "left_semi"), window, id_col, text_col))
-        matches = matches.unionByName(scratch.save(hot_matches(content, window)))
+        matches = matches.unionByName(scratch.save(hot_matches(scratch, content, window)))
         scratch.drop(content)
     least = classes.select("key", "body", "n", F.col("doc").alias("least"))
     placed = members.join(least, ["key", "body", "n"])

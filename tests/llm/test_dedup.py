@@ -230,3 +230,24 @@ def test_estimate_is_near_the_truth(spark):
     b = np.unique(np.concatenate([a[:820], r.integers(-(1 << 62), 1 << 62, 80)]))
     df = spark.createDataFrame([(a[:64].tolist(), b[:64].tolist())], "a array<long>, b array<long>")
     assert df.select(near_dedup.estimate_passes(F.col("a"), F.col("b"))).first()[0]
+
+
+def test_hot_matches_are_runs(spark, monkeypatch):
+    """Texts of a repeated word pair: their windows are two, and what goes is a run a text, not a row a window."""
+    from driftspan.llm import substring_dedup as module
+
+    monkeypatch.setattr(module, "HOT_WORDS", 1)
+    taken, made = module.hot_matches, []
+
+    def hot_matches(*given):
+        made.append(taken(*given).collect())
+        return taken(*given)
+
+    monkeypatch.setattr(module, "hot_matches", hot_matches)
+    r = random.Random(3)
+    rows = [(i, " ".join([f"a{i}", *["so", "be"] * (60 + 20 * i), *words(r, 60), f"z{i}"]), "en", "s", 0) for i in range(12)]
+    rows += [rows[3], (40, " ".join(["so", "be"] * 40), "en", "s", 0)]
+    got = module.substring_dedup(frame(spark, rows)).collect()
+    assert sorted((str(x.doc_id), x.n_words, x.n_removed, x.kept_sha256, x.kept) for x in got) == brute_substring(rows, 50)
+    places = [(x["key"], bytes(x["body"]), p) for x in made[0] for p in range(x["lo"], x["hi"])]
+    assert len(places) == len(set(places)) > 1000 > 20 * len(made[0])
