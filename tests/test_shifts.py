@@ -95,6 +95,33 @@ def test_neighbourhoods_meet_in_blocks_as_in_the_matrix(spark):
     assert met == {i: set(near[i].tolist()) for i in range(60)}
 
 
+@pytest.mark.parametrize("values, doubles", [(10**9, True), (1, True), (1, False)])
+def test_metafeatures_store_no_pairs(spark, monkeypatch, values, doubles):
+    """In memory and in a file, floats and doubles: right, and the plan shuffles, joins and broadcasts nothing."""
+    from driftspan.operators import mf_kmeans as module
+
+    monkeypatch.setattr(module, "HELD_VALUES", values, raising=False)
+    monkeypatch.setattr(module, "LEAST_ROWS", 20, raising=False)
+    monkeypatch.setattr(module, "BROADCAST_VALUES", values, raising=False)
+    x = np.random.default_rng(5).normal(size=(90, 3))
+    x = x if doubles else x.astype(np.float32).astype(float)
+    keys = np.random.default_rng(6).permutation(90)
+    df = spark.createDataFrame(pd.DataFrame(x[keys], columns=["a", "b", "c"]).assign(row_id=keys, y=[f"c{i % 4}" for i in keys])).repartition(5)
+    found = module.metafeature_space(df, "row_id", ["a", "b", "c"], ["var", "median", "freq_class"], target="y")
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "Window" not in plan
+    space = {r["row_id"]: r["mf"] for r in found.collect()}
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1)[:, :9]
+    assert len(space) == 90
+    for i in range(90):
+        shares = np.unique(near[i] % 4, return_counts=True)[1] / 9
+        want = np.concatenate([x[near[i]].var(axis=0, ddof=1), np.median(x[near[i]], axis=0), shares])
+        width = len(space[0])
+        assert np.allclose(space[i], np.concatenate([want, np.zeros(width)])[:width])
+
+
 def test_kmeans_finds_separate_groups(spark):
     r = np.random.default_rng(1)
     x = np.concatenate([r.normal(0, 0.1, (20, 2)), r.normal(5, 0.1, (20, 2))])
