@@ -177,3 +177,20 @@ def test_many_strings_are_numbered_by_first_appearance(spark):
     found = ids(FeatureStratificationShift(["s"], "row_id", 2).assign(spark.createDataFrame(rows, "row_id long, s string").repartition(4)))
     order = list(dict.fromkeys(s for _, s in rows))
     assert found == {i: order.index(s) for i, s in rows}
+
+
+def test_mf_kmeans_clusters_without_pairs(spark, monkeypatch):
+    """A matrix beyond every limit: what the iterations read is made without joins or windows, and the groups are found."""
+    from driftspan.operators import mf_kmeans as module
+
+    for limit in ("HELD_VALUES", "BROADCAST_VALUES"):
+        monkeypatch.setattr(module, limit, 1, raising=False)
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.normal(0, 0.1, (25, 2)), r.normal(5, 0.1, (25, 2))])
+    frame = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(row_id=range(50)))
+    strategy = MFKMeansShift(["a", "b"], "row_id", ["var", "mean"], n_partitions=2, percent=0.2, seed=3)
+    found = ids(strategy.assign(frame))
+    plan = strategy.space._jdf.queryExecution().optimizedPlan().toString() + strategy.space._jdf.queryExecution().analyzed().toString()
+    strategy.release()
+    assert "Join" not in plan and "Window" not in plan
+    assert len(found) == 50 and len({found[i] for i in range(25)}) == len({found[i] for i in range(25, 50)}) == 1 and found[0] != found[49]
