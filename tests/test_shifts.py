@@ -194,3 +194,56 @@ def test_mf_kmeans_clusters_without_pairs(spark, monkeypatch):
     strategy.release()
     assert "Join" not in plan and "Window" not in plan
     assert len(found) == 50 and len({found[i] for i in range(25)}) == len({found[i] for i in range(25, 50)}) == 1 and found[0] != found[49]
+
+
+def plain_space(x, ids, k):
+    """Variances and means of the k nearest others, ties by id."""
+    d = np.round(np.linalg.norm(x[:, None] - x[None], axis=2), 9)
+    near = [[j for j in np.lexsort((ids, d[i])) if j != i][:k] for i in range(len(x))]
+    return {ids[i]: np.concatenate([x[v].var(axis=0, ddof=1), x[v].mean(axis=0)]) for i, v in enumerate(near)}
+
+
+@pytest.mark.parametrize("form", ["apart", "grid", "copies", "far"])
+def test_a_large_table_is_held_nowhere(spark, monkeypatch, form):
+    """Beyond what is held: no matrix or file, the rows that are asked for only, and right with ties between different rows, equal rows and clusters far apart."""
+    from driftspan.operators import mf_kmeans as module
+
+    for limit, value in (("HELD_VALUES", 1), ("SAMPLE_ROWS", 100), ("EDGE_ROWS", 5), ("STEP_ROWS", 7), ("BLOCK_ROWS", 16), ("LEAST_ROWS", 5), ("MOST_ROWS", 8), ("ROUND_VALUES", 100)):
+        monkeypatch.setattr(module, limit, value)
+    r = np.random.default_rng(8)
+    x = r.normal(size=(400, 2))
+    if form == "grid":
+        x = r.integers(0, 5, (400, 2)).astype(float)
+    elif form == "copies":
+        x[r.random(400) < 0.4] = x[0]
+        x[200:] = x[:200]
+    elif form == "far":
+        x = x * 0.01 + r.integers(0, 4, 400)[:, None] * 1000
+    ids = r.permutation(400) * 3
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(row_id=ids)).repartition(3)
+    streamed, calls = module.streamed_space, []
+    monkeypatch.setattr(module, "streamed_space", lambda *a: calls.append(1) or streamed(*a))
+    vectors = form == "apart"  # one column of floats
+    x = x.astype(np.float32).astype(float) if vectors else x
+    rows = df.select("row_id", F.array("a", "b").cast("array<float>").alias("v")) if vectors else df
+    found = module.metafeature_space(rows, "row_id", ["v"] if vectors else ["a", "b"], ["var", "mean"], asked=F.col("row_id") % 5 == 0)
+    got = {r["row_id"]: r["mf"] for r in found.collect()}
+    want = {i: v for i, v in plain_space(x, ids, 40).items() if i % 5 == 0}
+    assert calls and got.keys() == want.keys()
+    assert all(np.allclose(got[i], v, rtol=1e-6, atol=1e-9) for i, v in want.items())
+
+
+def test_mf_kmeans_partitions_what_is_asked_for(spark):
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.normal(0, 0.1, (25, 2)), r.normal(5, 0.1, (25, 2))])
+    frame = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(row_id=range(50)))
+    strategy = MFKMeansShift(["a", "b"], "row_id", ["var", "mean"], n_partitions=2, percent=0.2, seed=3, asked=F.col("row_id") % 5 == 0)
+    found = ids(strategy.assign(frame))
+    space = {r["row_id"]: r["mf"] for r in strategy.space.collect()}
+    strategy.release()
+    whole = plain_space(x, np.arange(50), 10)
+    assert found.keys() == set(range(0, 50, 5)) and all(np.allclose(v, whole[i]) for i, v in space.items())
+    assert len({found[i] for i in range(0, 25, 5)}) == len({found[i] for i in range(25, 50, 5)}) == 1 and found[0] != found[45]
+    assert ids(MFKMeansShift(["a", "b"], "row_id", asked=F.col("row_id") < 0).assign(frame)) == {}
+    with pytest.raises(ValueError, match="one length"):
+        metafeature_space(frame.select("row_id", F.expr("if(row_id = 3, array(a), array(a, b))").alias("v")), "row_id", ["v"], ["var"])
